@@ -9,10 +9,9 @@ to save encoding the words that two tasks share.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterable
 
-import numpy as np
-
 TABLE_CHUNKS = 250_000
 
 
@@ -27,14 +26,14 @@ class ChunkTable:
             if len(self.table) + len(new) > self.limit:
                 self.table, self.old = {}, self.table
                 new = set(chunks)
-            self.table.update((c, self.old[c]) for c in new.intersection(self.old))
-            missing = list(new.difference(self.old))
+            self.table.update([(c, self.old[c]) for c in new if c in self.old])
+            missing = [c for c in new if c not in self.old]
             self.table.update(zip(missing, self.encode(missing), strict=True))
         return self.table
 
 
 def pack(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class PieceEncoder:
@@ -57,6 +56,8 @@ class PieceEncoder:
         self.lib = SentencePieceProcessor(model_file=model_file)
         self.begin, self.end = pack([self.lib.bos_id()]), pack([self.lib.eos_id()])
         self.head = self.lib.encode("\n")
+        pieces = [self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size())]
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if self.lib.is_byte(i) else p.replace(self.MARK, " ").encode() for i, p in enumerate(pieces)]
         self.by_chunk = self.supports()
         finer = not any(re.search(rf"{self.LETTERS}[.,]", self.lib.id_to_piece(i)) for i in range(self.lib.get_piece_size()))
         self.cut = (self.FINER if finer else self.CHUNK).findall
@@ -70,18 +71,11 @@ class PieceEncoder:
 
     def _encode(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
         # after a line feed no marker is put before a chunk; what stands for marker and line feed comes off again
-        n, out = len(self.head), []
+        n, of, out = len(self.head), self.bytes_of, []
         for ids in self.lib.encode(["\n" + c for c in chunks], num_threads=1):
-            out.append((pack(ids[n:]), self._text(ids[n:])))
+            out.append((pack(ids[n:]), b"".join([of[i] for i in ids[n:]])))
         return out
 
-    def _text(self, ids: list[int]) -> bytes:
-        parts = []
-        for i in ids:
-            p = self.lib.id_to_piece(i)
-            parts.append(bytes([int(p[3:5], 16)]) if self.lib.is_byte(i) else p.replace(self.MARK, " ").encode())
-        return b"".join(parts)
-
     def encode_decode(self, text: str) -> tuple[bytes, bytes]:
         """(ids with begin and end, little-endian; the decoded text in UTF-8)."""
         if not self.by_chunk or not text:
