@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .mixing import mix_sources, quality_weights
 from .pieces import piece_digests
 from .simhash import simhash_near_dedup
 from .token_files import token_files
@@ -24,6 +25,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"), quality_weights(_table(spark, sf_dir, "labels")))
+
+
 def tokenizer_path(name: str) -> str:
     """The place of a public vocabulary file."""
     import public_tokenizers
@@ -42,6 +47,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_mix_sources": op6_mix_sources,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_files": op10_token_files,
 }

@@ -43,12 +43,17 @@ _KEY = "__llm_text_digest"
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs that kept (doc_id, digest) lists, all columns, rows that repeat both but once.
+    """The rows of docs that kept (doc_id, digest[, copies]) lists, all columns, so many copies of each, else one.
 
-    The join and the removal of repeats share one shuffle on (doc_id, digest).
+    Rows of docs that repeat doc_id and text count once. The join and their removal share one shuffle on
+    (doc_id, digest); kept must list a pair once.
     """
     names = docs.columns
-    k = kept.select(F.col("doc_id").alias("__llm_id"), F.col("digest").alias("__llm_digest"))
+    many = "copies" in kept.columns
+    k = kept.select(F.col("doc_id").alias("__llm_id"), F.col("digest").alias("__llm_digest"), *([F.col("copies").alias("__llm_copies")] if many else []))
     rows = docs.withColumn(_KEY, text_digest())
-    joined = rows.join(k.hint("merge"), rows["doc_id"].eqNullSafe(k["__llm_id"]) & (rows[_KEY] == k["__llm_digest"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", _KEY]).select(*[F.col(f"`{c}`") for c in names])
+    out = rows.join(k.hint("merge"), rows["doc_id"].eqNullSafe(k["__llm_id"]) & (rows[_KEY] == k["__llm_digest"]), "inner" if many else "left_semi")
+    out = out.dropDuplicates(["doc_id", _KEY])
+    if many:
+        out = out.filter(F.col("__llm_copies") > 0).withColumn("__llm_copy", F.explode(F.sequence(F.lit(1), F.col("__llm_copies").cast("int"))))
+    return out.select(*[F.col(f"`{c}`") for c in names])
