@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .hamming import hamming_top_k
+from .main_text import extract
 from .mixing import mix_sources, quality_weights
 from .pieces import piece_digests
+from .secrets_scan import scan
 from .simhash import simhash_near_dedup
 from .token_files import token_files
+from .toxicity import toxicity
 from .warc import warc_round_trip
 
 
@@ -22,10 +26,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +46,14 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), quality_weights(_table(spark, sf_dir, "labels")))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path(name: str) -> str:
     """The place of a public vocabulary file."""
     import public_tokenizers
@@ -51,9 +71,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_html_main_text": op2_html_main_text,
     "op3_warc": op3_warc,
+    "op4_secret_scan": op4_secret_scan,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
+    "op7_toxicity": op7_toxicity,
+    "op8_hamming_top_k": op8_hamming_top_k,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_files": op10_token_files,
 }
@@ -65,4 +89,21 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t
     """,
+    # SHA-1 in base32 has no DuckDB function, so its bits are read from the hexadecimal digest
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+             g AS (SELECT h, max(page_id) AS first FROM p GROUP BY h)
+        SELECT p.page_id, octet_length(encode(p.h)) AS payload_bytes,
+               (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(sha1(p.h), 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1), '' ORDER BY i)
+                FROM range(32) r(i)) AS payload_digest,
+               CASE WHEN p.page_id = g.first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN p.page_id <> g.first THEN g.first END AS refers_to
+        FROM p JOIN g ON p.h = g.h
+    """,
+    "op8_hamming_top_k": """
+        WITH c AS (SELECT vec_id, list_sum(list_transform(generate_series(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN (1::UHUGEINT << (i - 1)::UHUGEINT) ELSE 0::UHUGEINT END))::UBIGINT AS code FROM embeddings),
+             d AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id, CAST(bit_count(xor(q.code, c.code)) AS BIGINT) AS distance FROM c q CROSS JOIN c WHERE q.vec_id % 20 = 0),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
+        SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
+    """,
 }

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import text_digest, whole_text, written
+from .work import keep_rows, text_digest, whole_text, written
 
 SEED = 42
 WORDS = 3
@@ -220,3 +220,12 @@ def simhash_near_dedup(docs: DataFrame, k: int = WORDS, radius: int = RADIUS, he
     prints = written(fingerprints(docs, k), "fingerprints")
     c = classes(prints, radius, heavy).withColumnRenamed("fp", "c")
     return prints.join(c.hint("merge"), prints["fp"] == c["c"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, k: int = WORDS, radius: int = RADIUS, heavy: int = HEAVY) -> DataFrame:
+    """docs, of each component only the row with the smallest doc_id (then the smallest text digest), all columns."""
+    prints = written(fingerprints(docs, k, digest=True), "fingerprints")
+    c = classes(prints.select("doc_id", "fp"), radius, heavy).withColumnRenamed("fp", "c")
+    joined = prints.join(c.hint("merge"), prints["fp"] == c["c"])
+    first = joined.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"))
+    return keep_rows(docs, first.select("first.doc_id", "first.digest"))
