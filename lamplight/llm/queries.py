@@ -101,8 +101,9 @@ SQL: dict[str, str] = {
         FROM p JOIN g ON p.h = g.h
     """,
     "op8_hamming_top_k": """
-        WITH c AS (SELECT vec_id, list_sum(list_transform(generate_series(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN (1::UHUGEINT << (i - 1)::UHUGEINT) ELSE 0::UHUGEINT END))::UBIGINT AS code FROM embeddings),
-             d AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id, CAST(bit_count(xor(q.code, c.code)) AS BIGINT) AS distance FROM c q CROSS JOIN c WHERE q.vec_id % 20 = 0),
+        WITH d AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
+                          CAST(list_sum(list_transform(generate_series(1, 64), lambda i: CASE WHEN (q.embedding[i] > 0) <> (c.embedding[i] > 0) THEN 1 ELSE 0 END)) AS BIGINT) AS distance
+                   FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id % 20 = 0),
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
         SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
     """,
