@@ -67,6 +67,12 @@ def roles(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "sha256", "n_bytes", base32_of_hex(F.col("sha1")).alias("digest"), "copies", F.col("best.page_id").alias("of_page"), F.col("best.url").alias("of_url"), own.alias("own"), F.col("best").isNotNull().alias("paired"))
 
 
+def _row_key() -> Column:
+    """32 bytes that are equal for equal (page_id, url, sha256), nulls included."""
+    parts = [F.coalesce(F.concat(F.lit("i"), F.col("page_id").cast("string")), F.lit("n")), F.hex("sha256"), F.coalesce(F.concat(F.lit("u"), F.col("url")), F.lit("n"))]
+    return F.unhex(F.sha2(F.concat_ws(" ", *parts), 256))
+
+
 def _record_id(page: Column, url: Column, digest: Column, copy: Column) -> Column:
     return F.concat(F.lit("urn:x-page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), F.hex(F.xxhash64(url)), F.lit(":"), digest, F.lit(":"), copy.cast("string"))
 
@@ -74,9 +80,11 @@ def _record_id(page: Column, url: Column, digest: Column, copy: Column) -> Colum
 def record_rows(pages: DataFrame, revisit_bytes: int = 0, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(record_id, chunk_no, value): WARC records, each without the two line ends that close it."""
     r = roles(pages, revisit_bytes)
-    r = r.select(*[F.col(c).alias(f"r_{c}") for c in r.columns])
+    r = r.select(_row_key().alias("r_key"), *[F.col(c).alias(f"r_{c}") for c in r.columns])
     rows = _pages(pages).withColumn("sha256", F.unhex(F.sha2("html", 256)))
-    joined = rows.join(r.hint("merge"), rows["page_id"].eqNullSafe(r["r_page_id"]) & rows["url"].eqNullSafe(r["r_url"]) & (rows["sha256"] == r["r_sha256"])).dropDuplicates(["page_id", "url", "sha256"])
+    # payloads are shuffled once, repeated rows but once from each task; the join reuses that shuffle
+    rows = rows.withColumn("key", _row_key()).dropDuplicates(["key"])
+    joined = rows.join(r.hint("merge"), rows["key"] == r["r_key"])
     copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("r_copies").cast("int"))))
     revisit = F.col("r_paired") & (~F.col("r_own") | (F.col("copy") > 1))
     html = F.col("html")
