@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .work import keep_rows, text_digest, whole_text, written
 
 MAX_EPOCHS = 3
-BIN_ROWS = 50_000
+BIN_ROWS = 4096
 SEED = 20_240_607
 WEIGHTS = (1, 2, 3)
 
@@ -38,12 +38,12 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size, rows, target, pos) of each source; the windows run over one row a source.
+    """(source, source_size, rows, least_weight, target, pos) of each source; the windows run over one row a source.
 
     With sources in the order of cap / weight, those before the first k whose share of what the earlier ones leave is
     under its cap get their caps; the others get that share by weight. This is where repeated resharing ends.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"), F.min("quality_weight").alias("least_weight"))
     named = per.withColumn("pos", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     w = named.withColumn("weight", F.element_at(cycle, (F.col("pos") - 1) % len(weights) + 1)).withColumn("cap", F.lit(float(max_epochs)) * F.col("source_size"))
@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     fits = F.when(F.col("share") * F.col("weight") <= F.col("cap"), F.struct("k", "share"))
     level = F.min(fits).over(everything)
     target = F.when(level.isNull() | (F.col("k") < level["k"]), F.col("cap")).otherwise(F.least(level["share"] * F.col("weight"), F.col("cap")))
-    return shared.select("source", "source_size", "rows", target.alias("target"), "pos")
+    return shared.select("source", "source_size", "rows", "least_weight", target.alias("target"), "pos")
 
 
 def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +109,9 @@ def mix_copies(docs: DataFrame, weights: DataFrame | None = None, digest: bool =
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 11).cast("double") + 0.5) * F.lit(2.0**-53)
     key = -F.log(u) / F.col("quality_weight")
     keyed = sizes.withColumn("key", key).join(s, F.col("source").eqNullSafe(F.col("of")))
-    place = F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")), F.col("bins") - 1)
-    keyed = written(keyed.withColumn("bin", place.cast("long")).drop("of", "source", "quality_weight", "rows", "bins"), "keyed")
+    # by the least weight no bin gets more than (weight / least weight) times its share of the documents of a weight
+    place = F.least(F.floor((1 - F.exp(-F.col("key") * F.col("least_weight"))) * F.col("bins")), F.col("bins") - 1)
+    keyed = written(keyed.withColumn("bin", place.cast("long")).drop("of", "source", "quality_weight", "rows", "bins", "least_weight"), "keyed")
     sums = keyed.groupBy("pos", "bin").agg(F.sum("size").alias("in_bin"))
     to = F.sum("in_bin").over(Window.partitionBy("pos").orderBy("bin"))
     bins = sums.select(F.col("pos").alias("p"), F.col("bin").alias("b"), to.alias("to"), (to - F.col("in_bin")).alias("before"))
