@@ -3,8 +3,8 @@
 A vector's code has 64 bits: bit i is set where the sum of its components i, i + 64, ... is above zero. Codes are cut
 into SEGMENTS segments of equal width. A code within distance d of a query has a segment within d // SEGMENTS of the
 query's, so after all segments were searched up to radius r every code up to SEGMENTS * (r + 1) - 1 is verified. The
-radius grows by one a round; a query is done once its k-th verified distance is covered, and the others go on, up to
-the width of a segment, where everything is covered.
+radius grows round by round along ROUNDS; a query is done once its k-th verified distance is covered, and the others
+go on, up to the width of a segment, where everything is covered.
 
 Only distinct codes are searched, with their smallest id; a code's k smallest ids come in at the end, so copies cost
 nothing. The index has a row for each code and segment, dealt to shards by segment, by the segment value's first bits
@@ -32,6 +32,8 @@ from .work import written
 
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
+#: First and last radius of each round.
+ROUNDS = ((0, 1), (2, 3), (4, 5), (6, 8), (9, WIDTH))
 SHARD_CODES = 16_384
 K = 10
 
@@ -81,9 +83,9 @@ class Shard:
         counts = z - a
         return np.repeat(a - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
 
-    def best(self, query: int, radius: int, k: int, bound: int, rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def best(self, query: int, first: int, last: int, k: int, bound: int, rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(places, distances) of the k codes with the smallest (distance, least id), none beyond bound."""
-        at = self.ring(query, radius, rings)
+        at = np.concatenate([self.ring(query, r, rings) for r in range(first, last + 1)])
         d = np.bitwise_count(self.codes[at] ^ np.uint64(query)).astype(np.int64)
         keep = d <= bound
         at, d = at[keep], d[keep]
@@ -96,7 +98,7 @@ class Shard:
 _FOUND = pa.schema([("q", pa.int64()), ("code", pa.int64()), ("least", pa.int64()), ("n", pa.int32()), ("d", pa.int32())])
 
 
-def _search(radius: int, k: int):
+def _search(first: int, last: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (s, part, salt, is_query): the codes of a shard, then the queries that it gets."""
         rings, key, parts, shard = _rings(), None, [], None
@@ -119,7 +121,7 @@ def _search(radius: int, k: int):
                     shard = Shard(*(np.concatenate(c) for c in zip(*parts, strict=True)), key[0])
                 q, rows, ds = [], [], []
                 for query, bound in zip(cols[0][codes:].tolist(), cols[2][codes:].tolist(), strict=True):
-                    at, d = shard.best(query & (1 << BITS) - 1, radius, k, bound, rings)
+                    at, d = shard.best(query & (1 << BITS) - 1, first, last, k, bound, rings)
                     q.append(np.full(len(at), query, np.int64))
                     rows.append(at)
                     ds.append(d)
@@ -141,32 +143,29 @@ def top_codes(codes: DataFrame, queries: DataFrame, k: int, shard_codes: int = S
     sizes = written(sizes, "shards")
     index = spread.join(F.broadcast(sizes), ["s", "part"]).select("s", "part", F.pmod(F.xxhash64("code"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("is_query"), "code", "least", "n")
     index = written(index, "index")
-    active = queries.select("q").withColumn("bound", F.lit(BITS))
-    best: DataFrame | None = None
+    none = lambda kind: F.lit(None).cast(kind)
+    # each query has a row without a code, which keeps it where nothing was found yet
+    best = queries.select("q", none("long").alias("code"), none("long").alias("least"), F.lit(0).alias("n"), F.lit(BITS + 1).alias("d"), none("int").alias("kth"))
+    best = written(best, "queries")
     done: list[DataFrame] = []
-    for radius in range(WIDTH + 1):
-        sent = active.select("q", "bound", F.posexplode(F.array(*[segment(F.col("q"), s) for s in range(SEGMENTS)])).alias("s", "value"))
-        sent = sent.join(F.broadcast(sizes), "s").filter(F.bit_count(F.shiftright("value", rest).bitwiseXOR(F.col("part"))) <= radius)
+    near = Window.partitionBy("q").orderBy("d", "least")
+    for first, last in ROUNDS:
+        sent = best.filter(F.col("code").isNull()).select("q", F.coalesce("kth", F.lit(BITS)).alias("bound"), F.posexplode(F.array(*[segment(F.col("q"), s) for s in range(SEGMENTS)])).alias("s", "value"))
+        sent = sent.join(F.broadcast(sizes), "s").filter(F.bit_count(F.shiftright("value", rest).bitwiseXOR(F.col("part"))) <= last)
         sent = sent.select("s", "part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("is_query"), F.col("q").alias("code"), F.lit(0).cast("long").alias("least"), F.col("bound").cast("int").alias("n"))
         keys = ["s", "part", "salt"]
-        found = index.unionByName(sent).repartition(*keys).sortWithinPartitions(*keys, "is_query").mapInArrow(_search(radius, k), "q long, code long, least long, n int, d int")
-        if best is not None:
-            found = found.unionByName(best)
-        near = Window.partitionBy("q").orderBy("d", "least")
-        found = found.dropDuplicates(["q", "code"]).withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
-        found = found.withColumn("so_far", F.sum("n").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-        best = written(found.select("q", "code", "least", "n", "d", "so_far"), "nearest")
-        kth = best.groupBy("q").agg(F.min(F.when(F.col("so_far") >= k, F.col("d"))).alias("kth"))
-        covered = SEGMENTS * (radius + 1) - 1
-        state = written(active.select("q").join(kth, "q", "left").select("q", "kth"), "queries")
-        over = state.filter(F.col("kth") <= covered) if radius < WIDTH else state
-        done.append(best.join(over.select("q").hint("merge"), "q", "left_semi").drop("so_far"))
-        if radius == WIDTH:
+        found = index.unionByName(sent).repartition(*keys).sortWithinPartitions(*keys, "is_query").mapInArrow(_search(first, last, k), "q long, code long, least long, n int, d int")
+        # one shuffle by query serves the removal of repeats, the ranks and the k-th distances
+        found = found.unionByName(best.drop("kth")).repartition("q").dropDuplicates(["q", "code"])
+        ranked = found.withColumn("rank", F.row_number().over(near)).filter((F.col("rank") <= k) | F.col("code").isNull())
+        so_far = F.sum("n").over(near.rowsBetween(Window.unboundedPreceding, 0))
+        ranked = ranked.withColumn("so_far", so_far).withColumn("kth", F.min(F.when(F.col("code").isNotNull() & (F.col("so_far") >= k), F.col("d"))).over(Window.partitionBy("q")))
+        best = written(ranked.select("q", "code", "least", "n", "d", "kth"), "nearest")
+        over = F.lit(last == WIDTH) | F.coalesce(F.col("kth") <= SEGMENTS * (last + 1) - 1, F.lit(False))
+        done.append(best.filter(over & F.col("code").isNotNull()).drop("kth"))
+        best = best.filter(~over)
+        if best.isEmpty():
             break
-        active = state.filter(F.col("kth").isNull() | (F.col("kth") > covered)).select("q", F.coalesce("kth", F.lit(BITS)).alias("bound"))
-        if active.isEmpty():
-            break
-        best = best.join(active.select("q").hint("merge"), "q", "left_semi").drop("so_far")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
