@@ -96,13 +96,15 @@ class PieceEncoder:
 class WordEncoder:
     """Exactly the tokenizers library's ids for a tokenizer that drops white space, word by word.
 
-    Words are what spaces and line feeds separate; they are encoded apart. Words of small Latin letters, marks and
-    digits go straight to the model, in the parts that the tokenizer's pattern makes; all others go to the library.
+    Words are what spaces and line feeds separate; they are encoded apart. Words of Latin letters, marks and digits go
+    straight to the model, in the parts that the tokenizer's pattern makes; those with other characters go to the
+    library as they are.
     """
 
     CHUNK = re.compile(r"[^ \n]+")
     PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
-    PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")  # no apostrophe, no <
+    ODD = re.compile(r"[^ \n!-&(-;=-~À-ÖØ-öø-ÿ]")  # an apostrophe, < and all that PART does not cut
+    ODD_WORD = re.compile(rf"[^ \n]*{ODD.pattern}[^ \n]*")
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, tokenizer_file: str):
@@ -115,40 +117,41 @@ class WordEncoder:
             spec = json.load(f)
         self.by_word = PieceOfSpec.drops_space(spec)
         self.direct = self.by_word and PieceOfSpec.splits_by(spec, self.PATTERN)
-        self.parts: dict[str, bytes] = {}
-        self.chunks = ChunkTable(self._encode)
+        self.chunks, self.parts = ChunkTable(self._encode), ChunkTable(self._encode_parts)
 
-    def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            if len(self.parts) >= TABLE_CHUNKS:
-                self.parts = {}
-            letters = part if part.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, part.encode()))
-            got = self.parts[part] = pack([t.id for t in self.lib.model.tokenize(letters)])
-        return got
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        tokenize, letters = self.lib.model.tokenize, _BYTE_LETTERS.__getitem__
+        return [pack([t.id for t in tokenize(p if p.isascii() else "".join(map(letters, p.encode())))]) for p in parts]
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        out: list[bytes | None] = []
-        rest = []
-        for c in chunks:
-            if self.direct and self.PLAIN.fullmatch(c):
-                out.append(b"".join(map(self._part, self.PART.findall(c.lower()))))
-            else:
-                rest.append(len(out))
-                out.append(None)
-        for i in range(0, len(rest), 4096):
-            some = rest[i : i + 4096]
-            for j, e in zip(some, self.lib.encode_batch([chunks[j] for j in some], add_special_tokens=False), strict=True):
-                out[j] = pack(e.ids)
+        out: list[bytes] = []
+        for i in range(0, len(chunks), 4096):
+            out += [pack(e.ids) for e in self.lib.encode_batch(chunks[i : i + 4096], add_special_tokens=False)]
         return out
 
+    def _plain(self, text: str) -> bytes:
+        parts = self.PART.findall(text.lower())
+        table = self.parts.rows(parts)
+        return b"".join([table[p] for p in parts])
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return pack(self.lib.encode(text, add_special_tokens=False).ids)
-        chunks = self.CHUNK.findall(text)
-        table = self.chunks.rows(chunks)
-        return b"".join([table[c] for c in chunks])
+        if not self.direct:
+            chunks = self.CHUNK.findall(text)
+            table = self.chunks.rows(chunks)
+            return b"".join([table[c] for c in chunks])
+        if not self.ODD.search(text):
+            return self._plain(text)
+        # words with an odd character go to the library, what lies between them is plain
+        out, at = [], 0
+        odd = [m.span() for m in self.ODD_WORD.finditer(text)]
+        table = self.chunks.rows([text[a:z] for a, z in odd])
+        for a, z in odd:
+            out += [self._plain(text[at:a]), table[text[a:z]]]
+            at = z
+        return b"".join([*out, self._plain(text[at:])])
 
 
 class PieceOfSpec:
