@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import SPACE, WORD, col, contains_any, lines, strip, text_or_empty, word_bounded, words
+from .strings import WORD, col, lines, strip, text_or_empty, word_bounded, words
 
 DEVANAGARI, ODIA = r"[\x{0900}-\x{097F}]", r"[\x{0B00}-\x{0B7F}]"
 
@@ -54,7 +54,9 @@ LEAST_SAMPLE, LEAST_LETTERS, LEAST_VOWELS = 100, 50, 0.22
 
 
 def _alternatives(patterns: tuple[str, ...]) -> str:
-    return "(?iu)" + "|".join(word_bounded(p) for p in patterns)
+    """One regex; all patterns begin with a letter at a word's edge, so that edge is looked at once for all of them."""
+    bare = [p.removeprefix(r"\b") for p in patterns]
+    return f"(?iu)(?<!{WORD})(?:" + "|".join(word_bounded(p) for p in bare) + ")"
 
 
 def phrases(text: Column | str, patterns: tuple[str, ...]) -> Column:
