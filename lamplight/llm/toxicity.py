@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from .token_tables import ChunkTable
 from .work import whole_text
 
 FEATURE_BITS = 18
-TOXIC_ROWS, UNLABELLED_ROWS, CLEAN_ROWS = 2000, 6000, 3000
+TOXIC_ROWS, UNLABELLED_ROWS, CLEAN_ROWS = 2000, 5000, 2500
 CUTOFF = 0.3
 ROUNDS, RATE = 160, 0.05
 OFFSET, SHARP, LEAST_WORDS = 1.0, 4.0, 2
@@ -57,16 +58,25 @@ def features(word: str) -> list[int]:
 class Examples:
     """Documents as runs of word numbers, words as runs of features."""
 
-    def __init__(self, docs: list[list[str]]):
+    def __init__(self, docs: list[str]):
+        """docs: the distinct words of each, with spaces between."""
         numbers: dict[str, int] = {}
-        flat = [numbers.setdefault(w, len(numbers)) for d in docs for w in d]
-        self.words, self.counts = np.array(flat, dtype=np.int64), np.array([len(d) for d in docs], dtype=np.int64)
-        per_word = [features(w) for w in numbers]
-        self.features = np.array([f for fs in per_word for f in fs], dtype=np.int64)
-        self.per_word = np.array([len(fs) for fs in per_word], dtype=np.int64)
+        flat, counts = array("i"), array("i")
+        for d in docs:
+            words = d.split()
+            counts.append(len(words))
+            flat.extend(numbers.setdefault(w, len(numbers)) for w in words)
+        hashed, per_word = array("i"), array("i")
+        for w in numbers:
+            fs = features(w)
+            per_word.append(len(fs))
+            hashed.extend(fs)
+        del numbers
+        self.words, self.counts = np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32), np.array(counts, np.int64)
+        self.features, self.per_word = np.frombuffer(hashed, np.int32) if hashed else np.empty(0, np.int32), np.array(per_word, np.int64)
         self.scale = 1 / np.sqrt(self.per_word)
-        self.of_doc = np.repeat(np.arange(len(docs)), self.counts)
-        self.of_word = np.repeat(np.arange(len(per_word)), self.per_word)
+        self.of_doc = np.repeat(np.arange(len(docs), dtype=np.int32), self.counts)
+        self.of_word = np.repeat(np.arange(len(self.per_word), dtype=np.int32), self.per_word)
 
     def word_weights(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.of_word, weights=weights[self.features], minlength=len(self.per_word)) * self.scale
@@ -120,7 +130,7 @@ class ToxicityModel:
         self.weights, self.bias, self.threshold, self.slope = weights.astype(np.float32), bias, threshold, slope
 
     @classmethod
-    def train(cls, toxic: list[list[str]], unlabelled: list[list[str]], prior: float) -> ToxicityModel | None:
+    def train(cls, toxic: list[str], unlabelled: list[str], prior: float) -> ToxicityModel | None:
         """None without a toxic or an unlabelled example."""
         if not toxic or not unlabelled:
             return None
@@ -140,13 +150,13 @@ class ToxicityModel:
             bias -= RATE * (mb / a) / (math.sqrt(vb / b) + 1e-8)
         return cls(w, bias)
 
-    def values(self, docs: list[list[str]]) -> np.ndarray:
+    def values(self, docs: list[str]) -> np.ndarray:
         if not docs:
             return np.empty(0)
         x = Examples(docs)
         return self.bias + x.over_docs(positive_part(x.word_weights(self.weights)))
 
-    def place(self, toxic: list[list[str]], clean: list[list[str]], prior: float) -> None:
+    def place(self, toxic: list[str], clean: list[str], prior: float) -> None:
         """Puts the score CUTOFF where the F-measure of labelled training rows is best, in the middle of the gap."""
         ft, fc = self.values(toxic), self.values(clean)
         f = np.concatenate([ft, fc])
@@ -192,7 +202,7 @@ def _order(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("doc_id"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, clean_rows: int = CLEAN_ROWS) -> tuple[dict[str, list[list[str]]], float]:
+def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, clean_rows: int = CLEAN_ROWS) -> tuple[dict[str, list[str]], float]:
     """Distinct words of the sampled documents, by kind, and the class prior."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -213,9 +223,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_RO
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.string())], names=["kind", "doc_id", "words"])
 
     rows = sample.mapInArrow(run, "kind string, doc_id long, words string").groupBy("kind", "doc_id").agg(F.max("words").alias("words")).collect()
-    out: dict[str, list[list[str]]] = {"toxic": [], "clean": [], "unlabelled": []}
+    out: dict[str, list[str]] = {"toxic": [], "clean": [], "unlabelled": []}
     for r in sorted(rows):
-        out[r["kind"]].append(r["words"].split())
+        out[r["kind"]].append(r["words"])
     return out, prior
 
 
