@@ -127,7 +127,7 @@ def links_of(page_url: str | None, html: str | None) -> Iterator[tuple]:
             url = urldefrag(urljoin(page_url or "", a["href"].strip())).url
         except ValueError:
             url = a["href"]
-        yield page_url, title, i, a["href"], url, _visible(a["text"]), listing_fields(a["table"], a["row"]) if a["table"] else {}
+        yield page_url, title, i, a["href"].strip(), url, _visible(a["text"]), listing_fields(a["table"], a["row"]) if a["table"] else {}
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -150,9 +150,13 @@ def pdf_links(links: DataFrame) -> DataFrame:
     return followed(links).filter(is_pdf_link("href"))
 
 
-def host(url: Column | str) -> Column:
+def netloc(url: Column | str) -> Column:
     """The network location with its port; raw spaces and other scripts in the rest do no harm."""
-    return F.lower(F.regexp_extract(text_or_empty(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    return F.regexp_extract(text_or_empty(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+
+
+def host(url: Column | str) -> Column:
+    return F.lower(netloc(url))
 
 
 def site_pages(links: DataFrame, domain: str) -> DataFrame:
@@ -161,7 +165,7 @@ def site_pages(links: DataFrame, domain: str) -> DataFrame:
     file = F.lit(False)
     for e in SKIPPED:
         file = file | path.endswith(e)
-    return followed(links).filter((host("url") == domain.lower()) & F.col("url").rlike("^https?://") & ~file & ~is_pdf_link("href"))
+    return followed(links).filter((netloc("url") == domain) & F.col("url").rlike("^https?://") & ~file & ~is_pdf_link("href"))
 
 
 def listing_columns(fields: Column) -> dict[str, Column]:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_POINTER = "_current"
+_POINTER = "CURRENT"
 
 
 def write_version(df: DataFrame, path: str) -> str:
