@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import DIGIT, SPACE, col, or_default
+from .strings import DIGIT, SPACE, col, let, or_default
 
 HEADER_CHARS, WINDOW = 4000, 60
 FIRST_YEAR, LAST_YEAR = 1990, 2035
@@ -92,11 +92,15 @@ def _month_number(name: Column) -> Column:
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<match, pos>> of all matches, pos counted in code points from 0."""
-    clean = F.translate(text, "\x01\x02", "  ")
-    parts = F.split(F.regexp_replace(clean, pattern, "\x01$0\x02"), "[\x01\x02]")
-    before = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-    numbered = F.transform(parts, lambda x, i: F.struct(x.alias("match"), before(i).alias("pos"), i.alias("i")))
-    return F.transform(F.filter(numbered, lambda m: m["i"] % 2 == 1), lambda m: F.struct(m["match"].alias("match"), m["pos"].alias("pos")))
+    fenced = F.split(F.regexp_replace(F.translate(text, "\x01\x02", "  "), pattern, "\x01$0\x02"), "[\x01\x02]")
+
+    def placed(parts: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+        odd = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
+        none = F.array().cast("array<struct<match:string,pos:int>>")
+        return F.when(F.size(parts) < 3, none).otherwise(F.transform(odd, lambda i: F.struct(parts[i].alias("match"), before(i).alias("pos"))))
+
+    return let(fenced, placed)
 
 
 def _score(text: Column, pos: Column, weight: int) -> Column:
@@ -108,8 +112,11 @@ def _score(text: Column, pos: Column, weight: int) -> Column:
 
 def candidates(text: Column | str, header_chars: int = HEADER_CHARS) -> Column:
     """array<struct<score, order, iso>> of the valid dates of the header; order: the larger, the earlier."""
-    header = F.translate(F.substring(F.coalesce(col(text), F.lit("")), 1, header_chars), DEVANAGARI_DIGITS, "0123456789")
+    start = F.translate(F.substring(F.coalesce(col(text), F.lit("")), 1, header_chars), DEVANAGARI_DIGITS, "0123456789")
+    return let(start, _of_header)
+
 
+def _of_header(header: Column) -> Column:
     def found(pattern: str, d: int, m: int, y: int, weight: int, word: bool = False) -> Column:
         part = lambda x, g: F.regexp_extract(x["match"], pattern, g)
         month = (lambda x: _month_number(part(x, m))) if word else (lambda x: part(x, m))

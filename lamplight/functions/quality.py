@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import WORD, col, lines, strip, text_or_empty, word_bounded, words
+from .strings import WORD, col, count_of, let, lines, strip, text_or_empty, word_bounded, words
 
 DEVANAGARI, ODIA = r"[\x{0900}-\x{097F}]", r"[\x{0B00}-\x{0B7F}]"
 
@@ -74,17 +74,21 @@ def find_commentary(text: Column | str) -> Column:
 
 
 def is_refusal(text: Column | str) -> Column:
-    bare = strip(text_or_empty(text))
-    n = F.size(find_commentary(bare))
-    return (F.length(bare) == 0) | ((n > 0) & ((F.length(bare) < 400) | (n >= 2)))
+    def judge(bare: Column) -> Column:
+        return let(F.size(find_commentary(bare)), lambda n: (F.length(bare) == 0) | ((n > 0) & ((F.length(bare) < 400) | (n >= 2))))
+
+    return let(strip(text_or_empty(text)), judge)
 
 
 def strip_commentary(text: Column | str) -> Column:
     """struct<text, removed>: without the lines that hold commentary; three line feeds and more become two."""
-    every = lines(text_or_empty(text))
-    kept = F.filter(every, lambda x: ~x.rlike(_alternatives(COMMENTARY)))
-    clean = F.regexp_replace(strip(F.array_join(kept, "\n")), "\n{3,}", "\n\n")
-    return F.struct(clean.alias("text"), (F.size(every) - F.size(kept)).alias("removed"))
+
+    def rest(every: Column) -> Column:
+        kept = F.filter(every, lambda x: ~x.rlike(_alternatives(COMMENTARY)))
+        clean = lambda k: F.regexp_replace(strip(F.array_join(k, "\n")), "\n{3,}", "\n\n")
+        return let(kept, lambda k: F.struct(clean(k).alias("text"), (F.size(every) - F.size(k)).alias("removed")))
+
+    return let(lines(text_or_empty(text)), rest)
 
 
 def has_translatable(text: Column | str) -> Column:
@@ -95,9 +99,14 @@ def has_translatable(text: Column | str) -> Column:
 def script_ratios(text: Column | str) -> Column:
     """struct<devanagari, latin>: shares of the letters of the two scripts, both 0 without one."""
     t = text_or_empty(text)
-    d, n = F.regexp_count(t, F.lit(DEVANAGARI)), F.regexp_count(t, F.lit("[A-Za-z]"))
-    share = lambda x: F.when(d + n == 0, F.lit(0.0)).otherwise(x / (d + n))
-    return F.struct(share(d).alias("devanagari"), share(n).alias("latin"))
+    counts = F.struct(count_of(t, DEVANAGARI.strip("[]")).alias("d"), count_of(t, "A-Za-z").alias("n"))
+
+    def shares(c: Column) -> Column:
+        total = c["d"] + c["n"]
+        share = lambda x: F.when(total == 0, F.lit(0.0)).otherwise(x / total)
+        return F.struct(share(c["d"]).alias("devanagari"), share(c["n"]).alias("latin"))
+
+    return let(counts, shares)
 
 
 def line_repeat_ratio(text: Column | str) -> Column:
@@ -106,39 +115,41 @@ def line_repeat_ratio(text: Column | str) -> Column:
     Sorted, equal lines are runs; one fold finds the longest, so a text of many lines stays linear but for the sort.
     """
     long = F.array_sort(F.filter(F.transform(lines(text_or_empty(text)), lambda x: strip(x)), lambda x: F.length(x) > 12))
-    start = F.struct(F.lit(None).cast("string").alias("line"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+    start = F.struct(F.lit(None).cast("string").alias("line"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(0).alias("n"))
 
     def step(a: Column, x: Column) -> Column:
         run = F.when(a["line"].eqNullSafe(x), a["run"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("line"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
+        return F.struct(x.alias("line"), run.alias("run"), F.greatest(a["most"], run).alias("most"), (a["n"] + 1).alias("n"))
 
-    most = F.aggregate(long, start, step)["most"]
-    return F.when(F.size(long) >= 4, most / F.size(long)).otherwise(F.lit(0.0))
+    return F.aggregate(long, start, step, lambda a: F.when(a["n"] >= 4, a["most"] / a["n"]).otherwise(F.lit(0.0)))
 
 
 def distinct_word_ratio(text: Column | str) -> Column:
     """Distinct lower-cased words over words, 1 with fewer than 30."""
-    w = F.transform(words(text_or_empty(text)), lambda x: F.lower(x))
-    return F.when(F.size(w) >= 30, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(1.0))
+    return let(words(F.lower(text_or_empty(text))), lambda w: F.when(F.size(w) >= 30, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(1.0)))
 
 
 def check_translation(source: Column | str, output: Column | str) -> Column:
     """struct<ok, reasons, metrics>; reasons name the check, metrics are unrounded."""
-    src, out = strip(text_or_empty(source)), strip(text_or_empty(output))
     raw = text_or_empty(output)
-    n_src, n_out = F.length(src), F.length(out)
+    facts = F.struct(
+        F.length(strip(text_or_empty(source))).alias("src"), F.length(strip(raw)).alias("out"), script_ratios(raw).alias("scripts"), line_repeat_ratio(raw).alias("repeat"),
+        distinct_word_ratio(raw).alias("distinct"), find_contamination(raw).alias("bad"), find_commentary(raw).alias("meta"),
+    )
+    return let(facts, _judged)
+
+
+def _judged(f: Column) -> Column:
+    n_src, n_out, scripts, repeat, distinct = f["src"], f["out"], f["scripts"], f["repeat"], f["distinct"]
     ratio = n_out / F.nullif(n_src, F.lit(0))
     band = lambda b: ratio.between(F.lit(b[0]), F.lit(b[1]))
-    scripts = script_ratios(raw)
-    repeat, distinct = line_repeat_ratio(raw), distinct_word_ratio(raw)
-    bad, meta = find_contamination(raw), find_commentary(raw)
     named = lambda label, found, n: F.when(F.size(found) > 0, F.concat(F.lit(f"{label}: "), F.array_join(F.slice(found, 1, n), ", ")))
     tests = [
         F.when(~F.when(n_src >= LONG_SOURCE, band(LONG_BAND)).otherwise(band(SHORT_BAND)), F.lit("length ratio")),
         F.when(scripts["latin"] < LEAST_LATIN, F.lit("too little Latin script")),
         F.when(scripts["devanagari"] > MOST_DEVANAGARI, F.lit("still Devanagari (untranslated)")),
-        named("contamination", bad, 5),
-        named("model commentary", meta, 3),
+        named("contamination", f["bad"], 5),
+        named("model commentary", f["meta"], 3),
         F.when(repeat > MOST_REPEAT, F.lit("identical lines (degenerate output)")),
         F.when(distinct < LEAST_DISTINCT, F.lit("few distinct words (degenerate output)")),
     ]
@@ -147,7 +158,7 @@ def check_translation(source: Column | str, output: Column | str) -> Column:
     full = F.create_map(*[x for k, v in measured.items() for x in (F.lit(k), v.cast("double"))])
     short = F.create_map(F.lit("source_chars"), n_src.cast("double"))
     metrics = F.when(n_src == 0, F.create_map().cast("map<string,double>")).when(n_out == 0, short).otherwise(full)
-    return F.struct((F.size(reasons) == 0).alias("ok"), reasons.alias("reasons"), metrics.alias("metrics"))
+    return let(reasons, lambda r: F.struct((F.size(r) == 0).alias("ok"), r.alias("reasons"), metrics.alias("metrics")))
 
 
 def looks_like_legacy_font(text: Column | str) -> Column:
@@ -157,23 +168,27 @@ def looks_like_legacy_font(text: Column | str) -> Column:
 
 
 def vowel_ratio(text: Column | str) -> Column:
-    t = text_or_empty(text)
-    n = F.regexp_count(t, F.lit("[A-Za-z]"))
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.regexp_count(t, F.lit("[AEIOUaeiou]")) / n)
+    return let(_letters(text), lambda x: F.when(F.length(x) == 0, F.lit(0.0)).otherwise(count_of(x, "AEIOUaeiou") / F.length(x)))
+
+
+def _letters(text: Column | str) -> Column:
+    return F.regexp_replace(text_or_empty(text), "[^A-Za-z]+", "")
 
 
 def looks_like_readable_latin(text: Column | str) -> Column:
-    t = text_or_empty(text)
-    return (F.regexp_count(t, F.lit("[A-Za-z]")) >= LEAST_LETTERS) & (vowel_ratio(t) >= LEAST_VOWELS)
+    return let(_letters(text), lambda x: (F.length(x) >= LEAST_LETTERS) & (count_of(x, "AEIOUaeiou") / F.length(x) >= LEAST_VOWELS))
 
 
 def needs_ocr(sample: Column | str, indic: tuple[str, ...] = (DEVANAGARI, ODIA)) -> Column:
     """Whether a text layer's sample is of no use; scripts not named in indic count as such."""
-    s = strip(text_or_empty(sample))
-    unicode = F.lit(False)
-    for script in indic:
-        unicode = unicode | s.rlike(script)
-    return F.when(F.length(s) < LEAST_SAMPLE, True).when(unicode, False).when(looks_like_legacy_font(s), True).otherwise(~looks_like_readable_latin(s))
+
+    def judge(s: Column) -> Column:
+        unicode = F.lit(False)
+        for script in indic:
+            unicode = unicode | s.rlike(script)
+        return F.when(F.length(s) < LEAST_SAMPLE, True).when(unicode, False).when(looks_like_legacy_font(s), True).otherwise(~looks_like_readable_latin(s))
+
+    return let(strip(text_or_empty(sample)), judge)
 
 
 def infer_title(text: Column | str, fallback: Column | str) -> Column:

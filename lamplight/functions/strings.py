@@ -6,6 +6,8 @@ Python's. They are written so that RE2 reads them too, but for the look-arounds
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,16 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, also where it stands in branches and lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+def count_of(c: Column, inside: str) -> Column:
+    """How many characters are in a class: the length of what is left without the runs of others."""
+    return F.length(F.regexp_replace(c, f"[^{inside}]+", ""))
+
+
 def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
@@ -46,8 +58,8 @@ def is_blank(c: Column | str) -> Column:
 
 def lines(c: Column | str) -> Column:
     """Like splitlines: no empty last line."""
-    parts = F.split(col(c), LINE_END)
-    return F.when(F.length(col(c)) == 0, F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    ended = F.regexp_replace(col(c), rf"(?:{LINE_END})\z", "")
+    return F.when(F.length(col(c)) == 0, F.array().cast("array<string>")).otherwise(F.split(ended, LINE_END))
 
 
 def words(c: Column | str) -> Column:
