@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamplight.functions.dates import extract_date
 from lamplight.functions.strings import or_default
+from lamplight.sources.shared import stored
 
 
 def last_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -36,7 +37,8 @@ def numbered(rows: DataFrame, order: list[str], by: list[str] | None = None, bas
     start = F.lit(base) if isinstance(base, int) else base
     if by:
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) + start)
-    placed = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    # stored, as another run of the range partitioning may cut elsewhere
+    placed = stored(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a partition
     local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lamplight.functions.dates import extract_date
 from lamplight.functions.naming import is_followed_link, is_pdf_link
 from lamplight.functions.strings import SPACE, strip_chars, text_or_empty
+from lamplight.sources.shared import stored
 
 # Extensions that are no pages; the words in a listing's header cells and the fields that they name.
 SKIPPED = (".pdf", ".jpg", ".jpeg", ".png", ".gif", ".zip", ".xlsx", ".xls", ".doc", ".docx", ".ppt", ".pptx", ".mp4", ".mp3", ".rar", ".csv")
@@ -180,7 +181,7 @@ def crawl(start: list[str], fetch: Callable[[DataFrame], DataFrame], max_depth:
     """(pages, pdfs) of a breadth-first crawl.
 
     fetch: from url to url and html, null html for what is no page; it is the only part that meets the network. A level
-    of the frontier is one job; what was seen is an anti-join over reliable checkpoints, so lineage stays short and a
+    of the frontier is one job; what was seen is an anti-join over stored tables, so lineage stays short and a
     lost executor costs a level at most. max_pages counts pages in the order of discovery.
     """
     domain = domain or urlsplit(start[0]).netloc
@@ -191,12 +192,13 @@ def crawl(start: list[str], fetch: Callable[[DataFrame], DataFrame], max_depth:
         todo = frontier.join(visited, "url", "left_anti")
         if left is not None:
             todo = todo.orderBy("ord").limit(max(0, left))
-        got = fetch(todo).join(todo, "url").filter(F.col("html").isNotNull()).checkpoint()
-        visited = visited.unionByName(todo.select("url")).distinct().checkpoint()
+        got = stored(fetch(todo).join(todo, "url").filter(F.col("html").isNotNull()), "pages")
+        visited = stored(visited.unionByName(todo.select("url")).distinct(), "visited")
         n = got.count()
         if left is not None:
             left -= n
-        links = page_links(got).join(got.select(F.col("url").alias("page_url"), F.col("ord").alias("__page")), "page_url").checkpoint()
+        links = page_links(got).join(got.select(F.col("url").alias("page_url"), F.col("ord").alias("__page")), "page_url")
+        links = stored(links, "links")
         place = F.struct("__page", "ord")
         new_pdfs = pdf_links(links).groupBy("url").agg(F.min_by(F.struct("page_url", "page_title", "link_text", "fields"), place).alias("f")).select("url", "f.*", F.lit(depth).alias("depth"))
         pages = got.withColumn("depth", F.lit(depth)) if pages is None else pages.unionByName(got.withColumn("depth", F.lit(depth)))
