@@ -11,7 +11,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from lamplight.llm import exact_dedup, simhash
+from lamplight.llm import exact_dedup, near_copies, simhash
 from lamplight.llm.mph import MinimalPerfectHash, words
 
 from .conftest import EDGES, doc_rows
@@ -149,3 +149,59 @@ def test_drop_near_copies(spark, no_docs, edges):
     assert sorted(r.doc_id for r in out.collect()) == sorted({c for _, _, c in components([(i, fingerprint(t)) for i, t, _ in rows], 2)})
     assert simhash.drop_near_copies(no_docs).count() == 0 and simhash.simhash_near_dedup(no_docs).count() == 0
     assert simhash.drop_near_copies(edges).filter(F.col("text") == "same text here now ok").count() <= 1
+
+
+def shingles(text, k=5):
+    w = text.lower().split()
+    return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or {" ".join(w)}
+
+
+def similar_components(rows):
+    """All pairs, straight from the definition; the smallest doc_id of each component."""
+    sets, parent = [shingles(t) for _, t, _ in rows], list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    return {rows[root(i)][0] for i in range(len(rows))}
+
+
+def test_pipeline_drops_copies_of_similarity_four_fifths(spark, edges, no_docs):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for size in (3, 40, 120, 400):
+        base = [r.choice(vocabulary) for _ in range(size)]
+        for n in (0, 1, 2, 3, 5, 8, 12, 20):
+            text = list(base)
+            for _ in range(min(n, size // 12)):
+                text[r.randrange(size)] = r.choice(vocabulary)
+            rows.append((len(rows), " ".join(text), "s"))
+    rows += [(90 + i, " ".join(r.choice(vocabulary) for _ in range(60)), "s") for i in range(9)]
+    df = doc_rows(spark, rows)
+    want = similar_components(rows)
+    out = corpus_pipeline.near_dedup_stage(spark, df, "")
+    assert out.columns == df.columns and {x.doc_id for x in out.collect()} == want
+    assert want < {x.doc_id for x in simhash.drop_near_copies(df).collect()}  # two bits of a fingerprint leave some of them
+    assert near_copies.drop_similar(no_docs).count() == 0 and near_copies.drop_similar(edges).filter(F.col("text") == "same text here now ok").count() == 1
+
+
+def test_similar_groups_equal_all_pairs():
+    r = np.random.default_rng(8)
+    base = r.integers(0, 2**62, 50, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(50) > 0.12], r.integers(0, 2**62, int(r.integers(1, 9)), dtype=np.uint64)])) for _ in range(120)]
+    got = near_copies.similar_groups(sets)
+    rows = [(i, s) for i, s in enumerate(sets)]
+    near = lambda a, b: 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+    name = list(range(120))
+    for (i, a), (j, b) in combinations(rows, 2):
+        if near(a, b):
+            name = [name[i] if x == name[j] else x for x in name]
+    assert len(set(got)) == len(set(name)) == len(set(zip(got, name, strict=True))) > 1
