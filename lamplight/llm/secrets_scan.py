@@ -5,8 +5,10 @@ letters, digits and +/_=.~- that follows a sensitive word within REACH character
 marginal compressed size: bytes of (surroundings + candidate) less bytes of (surroundings), both under a raw zstandard
 dictionary of identifiers and code to which the words of the surroundings are prior text. A word, an identifier, a path
 or a repeated string costs few bytes, a random one nearly its entropy. Candidates of LEAST_CHARS or more
-characters, with digits and letters, that cost at least LEAST_BYTES and at least LEAST_RATIO bytes a character and touch no base span are
-spans of the kind `novel`.
+characters that cost at least LEAST_BYTES and at least LEAST_RATIO bytes a character and touch no base span are
+spans of the kind `novel`. A short unknown word costs zstandard as much as a random string, so candidates other than
+letters with two digits or more must besides be unlike words: LEAST_BITS a character by the costs of letter pairs, of
+case changes and of digits. Numbers alone are always under it.
 
 Offsets are code points, ends exclusive; whole texts are read. Defined results: a null text counts as empty and has no
 span, whose digest is that of the empty string; rows that repeat each keep a row; an empty table gives an empty result;
@@ -41,6 +43,16 @@ _CONTEXT_HINTS = ("pass", "secret", "token", "key", "credential", "signature", "
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 REACH, AROUND = 96, 1024
 LEAST_CHARS, LEAST_BYTES, LEAST_RATIO = 16, 12, 0.7
+LEAST_BITS = 5.2
+#: Bits, as a hexadecimal digit, of each letter a to z after a word's start, then after a, b and so on to z: counted over
+#: the ASCII words of four letters or more in the vocabulary piece_bpe_32k.model.
+PAIR_BITS = (
+    "44344455567546648434665b99 8545a7585a7343b5b343667868 37c829cc46c38a39c35739cc6c 3d6a3dd34b44cc2ba4735cdd7a 3b951a6b28c67849b448478c6a 484366696a945386723486758a "
+    "3cca339c2ca4ca38a4744cac6c 49a928533ca47449c3564acc7c 27a92acc3cc7763ca5745c9c6c 5645465aaa845236954395d8e6 29972999696997296959299999 49a917782a85a568a6356a7a69 "
+    "3885278a3c838937cb55579d4d 24ac29ac3cc84833cc6a5ccc7c 4b43363949688559aa3266ab7a 665586696a644255c35545587b 3b983b954dd39a34d2545dbd7d 99999999999797977779099999 "
+    "386528693e675537b544569c59 5a4938a43d6678448a324b7d6b 3a7a28b42bb68848e3455a8c5a 5545465a5ba44385d333a8d999 3bbb1bbb2bb89b4bba8b8bbb8b 299829b43b97b43bb4488bbb7b "
+    "48393796399989629982679759 5556387a48a44443a634aa6aa8 39991999399799399996596965 "
+).split()
 
 #: Identifiers and code that surround secrets.
 DICTIONARY = (
@@ -77,11 +89,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _mixed(s: str) -> bool:
-    """At least two digits beside letters: words, paths and numbers alone are no candidates."""
+    """At least two digits beside letters: no word."""
     digits = sum(c.isdigit() for c in s)
     return 2 <= digits < len(s) and any(c.isalpha() for c in s)
 
 
+def word_bits(s: str) -> float:
+    """The cost of an ASCII string in bits, under the letter pairs of words, camel case and runs of digits."""
+    total, before, capitals = 0.0, " ", 0
+    for c in s:
+        if c.isalpha():
+            after = before.lower() if before.isalpha() else " "
+            if c.isupper() and before.islower():
+                total, after = total + 2, " "
+            elif c.islower() and capitals > 1:
+                total += 3
+            total += int(PAIR_BITS[ord(after) - 96 if after != " " else 0][ord(c.lower()) - 97], 16)
+            capitals = capitals + 1 if c.isupper() else 0
+        else:
+            total += 3 if not c.isdigit() else 3.32 if before.isdigit() else 6.32
+            capitals = 0
+        before = c
+    return total
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(h in low for h in _CONTEXT_HINTS):
@@ -100,7 +131,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
             s = c.group().strip(".=-~")
             a += c.group().find(s) if s else 0
             z = a + len(s)
-            if len(s) < LEAST_CHARS or not _mixed(s) or any(a < e and b < z for b, _, e in taken):
+            if len(s) < LEAST_CHARS or not _mixed(s) and word_bits(s) < LEAST_BITS * len(s) or any(a < e and b < z for b, _, e in taken):
                 continue
             cost = novelty.marginal(text[max(0, a - AROUND) : a], s, text[z : z + AROUND])
             if cost >= LEAST_BYTES and cost >= LEAST_RATIO * len(s):

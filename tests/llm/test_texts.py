@@ -83,6 +83,15 @@ def test_novel_strings_in_a_sensitive_context():
     assert find("a password of letters only like abcdefghijklmnopqrst") == [] and find("code Zx8Qp2Lm9Kt4Wv7Yb without any context") == []
 
 
+def test_novel_strings_with_few_digits():
+    n = secrets_scan.Novelty()
+    find = lambda t: [t[a:z] for a, _, z in secrets_scan.novel_spans(t, secrets_scan.base_spans(t), n)]
+    for token in ("ZxQpLmKtWvYbRdHsGjNc", "qzxvkjwpfhgtbnmdlrcs", "QZXVKJWPFHGTBNMDLRCS", "Zm9vYmFyTWpQxKwLdGtR", "hT/pWqZkLs+RvXmNcYbJ"):
+        assert find(f"Authorization: Bearer {token} as sent") == find(f"our password is {token} for now") == [token]
+    for plain in ("Bundesverfassungsgericht", "internationalization", "getUserAuthenticationProvider", "client_credentials_grant_handler", "https://docs.python.org/library/secrets", "/usr/share/documentation/readme.txt", "confidentiality-agreement", "1234098756473829105647"):
+        assert find(f"the secret is in {plain} as said") == []
+
+
 def toxic_table(spark, n=600):
     r = np.random.default_rng(4)
     neutral = [f"wo{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
