@@ -4,7 +4,9 @@ A page is a sequence of words and tags. Words score positive and tags negative,
 pages: a word's weight is its log odds of standing in the content, a tag's is the lower the more it stands outside or
 at the content's edge. One linear scan finds the contiguous region with the largest sum. Text of elements that are
 no content by their tag, role, class or id (menus, page headers and footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments) scores nothing and is left out, wherever it stands.
+scripts, styles, reader comments) scores nothing and is left out, wherever it stands. But a form, a role, a class or an
+id never takes away an element that is or holds the page's largest article or main element, by words, or, on a page
+without any, an element with more than half of the page's words: such an element is a wrapper, not a part.
 
 Labelled pages are the built-in templates of `labelled_pages` and at most TRAIN_PAGES pages of the table, in the order
 of a hash of page_id, whose markup has exactly one article or main element: what it holds is the content.
@@ -71,20 +73,50 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
-def _no_content(name: str, tag: str, stack: list[str]) -> bool:
-    if name in DROPPED:
-        return True
+#: How an element is no content: by its own kind, or by marks that a wrapper of the content may have too.
+HARD, SOFT = 2, 1
+
+
+def _no_content(name: str, tag: str, stack: list[str]) -> int:
+    if name in DROPPED and name != "form":
+        return HARD
     if name == "header" and not ("article" in stack or "main" in stack):
-        return True
+        return HARD
+    found = SOFT if name == "form" else 0
     if "=" not in tag and "hidden" not in tag or name in KEPT:
-        return False
+        return found
     for key, value in ATTRIBUTE.findall(tag):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and not HINTS.isdisjoint(_SPLIT.split(_CAMEL.sub("-", value).lower())):
-            return True
-        if key == "role" and value.lower() in ROLES or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-    return bool(re.search(r"\shidden(?=[\s>/])", tag))
+        if key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
+            return HARD
+        if key in ("class", "id") and not HINTS.isdisjoint(_SPLIT.split(_CAMEL.sub("-", value).lower())) or key == "role" and value.lower() in ROLES:
+            found = SOFT
+    return HARD if re.search(r"\shidden(?=[\s>/])", tag) else found
+
+
+def _contents(kinds: list[int], names: list[str], parents: list[int], own: list[int]) -> list[bool]:
+    """Of each element, whether it is content; own: the words right in it. An element's number is over its parent's."""
+    n = len(kinds)
+    hard = [False] * n
+    for e in range(1, n):
+        hard[e] = hard[parents[e]] or kinds[e] == HARD
+    kept: set[int] = set()
+    if SOFT in kinds:
+        words = [0 if h else w for h, w in zip(hard, own, strict=True)]
+        for e in range(n - 1, 0, -1):
+            words[parents[e]] += words[e]
+        bodies = [e for e in range(1, n) if names[e] in ("article", "main") and words[e]]
+        if bodies:
+            e = max(bodies, key=lambda e: words[e])
+            while e:
+                kept.add(e)
+                e = parents[e]
+        else:
+            kept = {e for e in range(1, n) if 2 * words[e] > words[0]}
+    content = [True] * n
+    for e in range(1, n):
+        content[e] = content[parents[e]] and not hard[e] and (kinds[e] != SOFT or e in kept)
+    return content
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
@@ -103,16 +135,28 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
 
 
 def _tokens(page: str) -> Iterator[tuple[str, str, bool]]:
+    # element 0 is the page
+    kinds, names, parents, own = [0], [""], [0], [0]
+    events = list(_events(page, kinds, names, parents, own))
+    content = _contents(kinds, names, parents, own)
+    for tag, text, e in events:
+        yield tag, text, content[e]
+
+
+def _events(page: str, kinds: list[int], names: list[str], parents: list[int], own: list[int]) -> Iterator[tuple[str, str, int]]:
+    """(tag or empty, text, number of the element it stands in, an end tag in the innermost open one); fills the lists."""
     at, n = 0, len(page)
     stack: list[str] = []
-    dropped = 0  # the depth of the stack at which dropping began, or 0
+    numbers = [0]  # of the page and of the open elements
     while at < n:
         m = TOKEN.search(page, at)
+        start = m.start() if m else n
+        if start > at:
+            text = page[at:start]
+            own[numbers[-1]] += _words(text)
+            yield "", text, numbers[-1]
         if not m:
-            yield "", page[at:], not dropped
             return
-        if m.start() > at:
-            yield "", page[at : m.start()], not dropped
         at = m.end()
         tag = m.group()
         if tag[1] in "!?":
@@ -120,34 +164,33 @@ def _tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         name = NAME.match(tag).group(1).lower()
         if tag[1] == "/":
             if name in stack:
-                inside = not dropped
+                inner = numbers[-1]
                 while stack.pop() != name:
                     pass
-                if dropped > len(stack):
-                    dropped = 0
-                yield "/" + name, "", inside
+                del numbers[len(stack) + 1 :]
+                yield "/" + name, "", inner
             continue
         while stack and name in ENDS.get(stack[-1], ()):
             stack.pop()
-            if dropped > len(stack):
-                dropped = 0
         if name in BLOCKS and "p" in stack:  # a paragraph whose inline elements were never closed
             k = len(stack) - 1 - stack[::-1].index("p")
             if not any(x in BLOCKS for x in stack[k + 1 :]):
                 del stack[k:]
-                if dropped > len(stack):
-                    dropped = 0
+        del numbers[len(stack) + 1 :]
         if name in VOID or tag.endswith("/>") and name in ("svg", "path"):
-            yield name, "", not dropped
+            yield name, "", numbers[-1]
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else n
             continue
+        kinds.append(_no_content(name, tag, stack))
+        names.append(name)
+        parents.append(numbers[-1])
+        own.append(0)
         stack.append(name)
-        if not dropped and _no_content(name, tag, stack[:-1]):
-            dropped = len(stack)
-        yield name, "", not dropped
+        numbers.append(len(kinds) - 1)
+        yield name, "", numbers[-1]
 
 
 class Weights:

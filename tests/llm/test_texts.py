@@ -36,6 +36,24 @@ def test_main_text(page, text):
     assert main_text.main_text(page, WEIGHTS) == text
 
 
+ARTICLE = "<h1>A title</h1><p>" + "word " * 30 + "</p><div class='share'>Share this</div><p>The end.</p>"
+ARTICLE_TEXT = "A title\n\n" + ("word " * 30).strip() + "\n\nThe end."
+MENU = "<div class='menu'><ul>" + "<li><a href=x>link</a></li>" * 20 + "</ul></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body>{MENU}<div class='content has-sidebar'><article>{ARTICLE}</article></div></body>", f"<body>{MENU}<article class='post category-legal'>{ARTICLE}</article></body>",
+        f"<body>{MENU}<div id='page' class='layout-sidebar-right'><main>{ARTICLE}</main></div></body>", f"<body><form action=/>{MENU}<article>{ARTICLE}</article><input></form></body>",
+        f"<body><div role=form class=modal>{MENU}<article>{ARTICLE}</article></div></body>", f"<body>{MENU}<div class='has-sidebar'>{ARTICLE}</div></body>", f"<body>{MENU}<form><div class='popular'>{ARTICLE}</div></form></body>",
+        f"<body><article>{ARTICLE}</article><section class='comments'><article>Thanks a lot for it.</article></section><aside class='related'><article>More words</article></aside></body>",
+    ],
+)
+def test_wrappers_of_the_article_are_kept(page):
+    assert main_text.main_text(page, WEIGHTS) == ARTICLE_TEXT
+
+
 def test_region_is_the_maximum_scoring_subsequence():
     words, links = "word " * 60, "<li><a href=x>l</a></li>" * 12
     page = f"<div><ul>{links}</ul></div><div><p>{words}</p><p>{words}</p></div><div><ul>{links}</ul></div>"
