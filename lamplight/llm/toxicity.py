@@ -1,6 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning, in numpy.
 
-A word's weight is the mean-scaled sum of its hashed features: itself, its beginnings and its runs of five characters.
+Words are runs of letters; those over LONG_WORD, such as clauses of scripts without spaces, are cut into overlapping
+pieces over their whole length, each a word. A word's weight is the mean-scaled sum of its hashed features: itself, its beginnings and its runs of five characters.
 A text's value is a bias plus the soft positive parts, softplus(SHARP * (weight - OFFSET)) / SHARP, of its distinct
 words' weights, so that a long text is not toxic for its length. Features that two words of the toxic rows share are
 trained from confirmed toxic documents and from unlabelled ones by the non-negative risk estimator: with the class
@@ -38,18 +39,21 @@ CUTOFF = 0.3
 ROUNDS, RATE = 160, 0.05
 OFFSET, SHARP, LEAST_WORDS = 1.0, 4.0, 2
 FOLDS, HELD_OUT = 4, 2
-#: Words over this length are known by their whole hash and by the runs of their first characters.
-LONG_WORD = 40
+#: Words over LONG_WORD become pieces of PIECE characters that begin every STEP: any STEP + 1 characters in a row are within one.
+LONG_WORD, PIECE, STEP = 40, 16, 8
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def distinct_words(text: str) -> list[str]:
-    return list(dict.fromkeys(_WORD.findall(text.lower())))
+    words = dict.fromkeys(_WORD.findall(text.lower()))
+    if all(len(w) <= LONG_WORD for w in words):
+        return list(words)
+    return list(dict.fromkeys(p for w in words for p in ([w] if len(w) <= LONG_WORD else (w[i : i + PIECE] for i in range(0, len(w) - PIECE + STEP, STEP)))))
 
 
 def features(word: str) -> list[int]:
     """Hashed features: the word, its beginnings of three to seven characters, its runs of five, its end marked."""
-    w = f"<{word}>" if len(word) <= LONG_WORD else f"<{word[:LONG_WORD]}"
+    w = f"<{word}>"
     runs = {w[:n] for n in range(4, min(9, len(w)))} | {w[i : i + 5] for i in range(1, len(w) - 4)}
     keep = (1 << FEATURE_BITS) - 1
     return [xxhash.xxh32_intdigest("=" + word) & keep, *(xxhash.xxh32_intdigest(r) & keep for r in sorted(runs))]

@@ -141,6 +141,20 @@ def test_toxicity_on_held_out_rows(spark, edges, no_docs):
     assert toxicity.drop_toxic(edges, labels.limit(0)).count() == len(EDGES)
 
 
+def test_long_words_are_read_whole(spark):
+    for n in range(41, 90):
+        w = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces_ = toxicity.distinct_words(w)
+        assert all(any(w[i : i + 9] in p for p in pieces_) for i in range(n - 8)) and max(map(len, pieces_)) <= 16
+    assert toxicity.distinct_words("a " + "b" * 40 + " a") == ["a", "b" * 40]
+    docs, labels = toxic_table(spark)
+    score = toxicity.train(docs, labels).scorer()
+    clean = "woakwobl" * 20
+    for at in (0, 40, 48, 120, 155):
+        assert score(clean[:at] + "vilewoal" + clean[at:] + " nasty") > score(clean + " nasty")
+        assert score(clean[:at] + "vile" * 3 + clean[at:]) > score(clean)
+
+
 def test_risk_is_not_negative_and_its_gradient_right():
     r = np.random.default_rng(0)
     f, toxic = r.normal(size=40), np.arange(40) < 15
