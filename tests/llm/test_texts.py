@@ -155,6 +155,13 @@ def test_long_words_are_read_whole(spark):
         assert score(clean[:at] + "vile" * 3 + clean[at:]) > score(clean)
 
 
+def test_sample_sizes(spark):
+    ids = spark.range(10_000).select(F.col("id").alias("doc_id"))
+    labels = ids.withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
+    rows, prior = toxicity.training_rows(ids.withColumn("text", F.lit("a text")), labels)
+    assert {k: len(v) for k, v in rows.items()} == {"toxic": 2000, "unlabelled": 6000, "clean": 3000} and prior == pytest.approx(0.5, abs=0.02)
+
+
 def test_risk_is_not_negative_and_its_gradient_right():
     r = np.random.default_rng(0)
     f, toxic = r.normal(size=40), np.arange(40) < 15
