@@ -8,8 +8,8 @@ executor leaves no part of a file behind. A file is a run of blocks of about BLO
     | doc_ids i64 each, with a bit set of the nulls | Elias-Fano boundaries (n + 1 values) | the ids | line feed
 
 Ids take 2 bytes where the vocabulary allows it, else 4. Reading gives each document its ids and its start in the
-whole corpus: boundaries by select within the block, block sums within the file, and file sums over the files, a table
-with one row a file.
+whole corpus: boundaries within the block, which are decoded all at once since every document of it is read (select is
+for single ones and not used here), block sums within the file, and file sums over the files, a table with one row a file.
 
 Defined results: a null text counts as empty, so that only the end id is written; null doc_ids come first; rows that
 repeat a doc_id follow one another, by their texts; an empty table gives no blocks and an empty result; only doc_id and
