@@ -89,6 +89,13 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t
     """,
+    # the pages of the driver's tables have one article element, of h1, p, b and br, so patterns can cut it out
+    "op2_html_main_text": r"""
+        WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' ', 'g'), '</?b>', '', 'g') AS h FROM pages),
+             b AS (SELECT page_id, url, list_transform(string_split_regex(h, '</?(?:h1|p)>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS x FROM a),
+             t AS (SELECT page_id, url, array_to_string(list_filter(x, lambda y: y <> ''), chr(10) || chr(10)) AS text FROM b)
+        SELECT page_id, url, text, length(text) AS n_chars FROM t
+    """,
     # SHA-1 in base32 has no DuckDB function, so its bits are read from the hexadecimal digest
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

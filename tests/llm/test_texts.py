@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,13 +50,65 @@ MENU = "<div class='menu'><ul>" + "<li><a href=x>link</a></li>" * 20 + "</ul></d
         f"<body>{MENU}<div class='content has-sidebar'><article>{ARTICLE}</article></div></body>", f"<body>{MENU}<article class='post category-legal'>{ARTICLE}</article></body>",
         f"<body>{MENU}<div id='page' class='layout-sidebar-right'><main>{ARTICLE}</main></div></body>", f"<body><form action=/>{MENU}<article>{ARTICLE}</article><input></form></body>",
         f"<body><div role=form class=modal>{MENU}<article>{ARTICLE}</article></div></body>", f"<body>{MENU}<div class='has-sidebar'>{ARTICLE}</div></body>", f"<body>{MENU}<form><div class='popular'>{ARTICLE}</div></form></body>",
-        f"<body><article>{ARTICLE}</article><section class='comments'><article>Thanks a lot for it.</article></section><aside class='related'><article>More words</article></aside></body>",
+        f"<body><nav><ul>{MENU}<article>{ARTICLE}</article></body>", f"<body><article>{ARTICLE}</article><section class='comments'><article>Thanks a lot for it.</article></section><aside class='related'><article>More words</article></aside></body>",
     ],
 )
 def test_wrappers_of_the_article_are_kept(page):
     assert main_text.main_text(page, WEIGHTS) == ARTICLE_TEXT
 
 
+PROSE = "word " * 25
+MENU_ITEMS = "<li><a href=x>link</a></li>" * 12
+
+
+@pytest.mark.parametrize(
+    ("page", "end"),
+    [
+        (f"<article class='print article'>{ARTICLE}</article>", "The end."), (f"<article id='popular-science'>{ARTICLE}</article>", "The end."),
+        (f"<article>{ARTICLE}<section id='discussion'><p>{PROSE}</p></section></article>", PROSE.strip()), (f"<article>{ARTICLE}<div class='legal-analysis'><p>{PROSE}</p></div></article>", PROSE.strip()),
+        (f"<article>{ARTICLE}<p><label>a label</label> here</p></article>", "a label here"), (f"<article>{ARTICLE}<object data=x><p>instead of it</p></object></article>", "instead of it"),
+        (f"<div><ul>{MENU_ITEMS}</ul></div><div>{ARTICLE}<ul><li>one</li><li>two</li></ul></div><div><ul>{MENU_ITEMS}</ul></div>", "one\n\ntwo"),
+        (f"<article>{ARTICLE}</article><div><p>{'comment ' * 80}</p></div>", "The end."), (f"<article>{ARTICLE}<div id='comments'><p>{'comment ' * 80}</p></div></article>", "The end."),
+    ],
+)
+def test_article_is_whole_and_ends_where_it_ends(page, end):
+    text = main_text.main_text(f"<body>{page}</body>", WEIGHTS)
+    assert text == ARTICLE_TEXT + ("" if end == "The end." else "\n\n" + end)
+
+
+def test_heading_before_the_region():
+    page = f"<div><ul>{MENU_ITEMS}</ul></div><div><h1>The <b>heading</b></h1></div><div><p>{PROSE}</p><p>{PROSE}</p></div>"
+    assert main_text.main_text(page, WEIGHTS) == "\n\n".join(["The heading", PROSE.strip(), PROSE.strip()])
+
+
+def test_scan_alone_finds_unmarked_layouts():
+    """Without any mark, role or kind: tags and words decide."""
+    bare = main_text.Weights(WEIGHTS.word, WEIGHTS.tags, {})
+    for n in (1, 3, 8):
+        body = "".join(f"<p>{PROSE}</p>" for _ in range(n + 1))
+        page = f"<div><div><ul>{MENU_ITEMS}</ul></div></div><div><div>{body}</div></div><div><div><h4>x y</h4><ul>{MENU_ITEMS}</ul></div></div>"
+        assert main_text.main_text(page, bare) == "\n\n".join([PROSE.strip()] * (n + 1))
+        assert main_text.main_text(page.replace("<div><div><ul>", "<nav><div class=menu><ul>", 1).replace("</div></div>", "</div></nav>", 1), WEIGHTS) == "\n\n".join([PROSE.strip()] * (n + 1))
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "</span>" * 40_000, "<p><b>" * 40_000, "<p>" + "<i>" * 40_000 + "<p>" * 40_000, '<a "' * 40_001, "<div class=ad>" * 40_000 + "x" + "</div>" * 40_000])
+def test_long_bad_pages_take_linear_time(page):
+    began = time.process_time()
+    main_text.main_text(page, WEIGHTS)
+    assert time.process_time() - began < 2
+
+
+def test_pages_of_the_driver_by_another_reading():
+    """The article element cut out with patterns."""
+
+    def cut(page):
+        inner = re.sub(r"</?b>", "", re.search(r"(?s)<article>(.*)</article>", page).group(1).replace("<br>", " "))
+        return "\n\n".join(x for x in (re.sub(r"\s+", " ", html.unescape(y)).strip() for y in re.split(r"</?(?:h1|p)>", inner)) if x)
+
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist():
+        assert main_text.main_text(page, WEIGHTS) == cut(page)
+
+
 def test_region_is_the_maximum_scoring_subsequence():
     words, links = "word " * 60, "<li><a href=x>l</a></li>" * 12
     page = f"<div><ul>{links}</ul></div><div><p>{words}</p><p>{words}</p></div><div><ul>{links}</ul></div>"
