@@ -1,14 +1,13 @@
 """Secret scans: three base patterns, and strings in a sensitive context that dictionary-primed zstandard cannot shrink.
 
 Base spans are leftmost non-overlapping matches of each kind: assign, access, hex. Beside them, a run of ASCII
-letters, digits and +/_=.~- that follows a sensitive word within REACH characters is a candidate. Its novelty is its
-marginal compressed size: bytes of (surroundings + candidate) less bytes of (surroundings), both under a raw zstandard
-dictionary of identifiers and code to which the words of the surroundings are prior text. A word, an identifier, a path
-or a repeated string costs few bytes, a random one nearly its entropy. Candidates of LEAST_CHARS or more
-characters that cost at least LEAST_BYTES and at least LEAST_RATIO bytes a character and touch no base span are
-spans of the kind `novel`. A short unknown word costs zstandard as much as a random string, so candidates other than
-letters with two digits or more must besides be unlike words: LEAST_BITS a character by the costs of letter pairs, of
-case changes and of digits. Numbers alone are always under it.
+letters, digits and +/_=.~- of LEAST_CHARS or more that begins within REACH characters behind a sensitive word is a
+candidate. Its cost is its marginal compressed size: bytes of (surroundings + candidate) less bytes of (surroundings), both
+under a raw zstandard dictionary of identifiers, code and the words of a public vocabulary file; the surroundings are the
+AROUND characters on each side. Its novelty is that cost over the mean cost of SHUFFLES arrangements of the same characters,
+which hold no word: a name, a path or a known string costs much less than its letters in disorder, a random string as
+much. A candidate of at least LEAST_NOVELTY, and LEAST_RATIO bytes a character, that touches no base span is a span of the
+kind `novel`. What lies further off than REACH or AROUND is no context of a candidate; every candidate is measured.
 
 Offsets are code points, ends exclusive; whole texts are read. Defined results: a null text counts as empty and has no
 span, whose digest is that of the empty string; rows that repeat each keep a row; an empty table gives an empty result;
@@ -18,7 +17,9 @@ only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,18 +42,9 @@ CONTEXT = re.compile(r"passw|passphrase|secret|token|api.?key|credential|private
 #: One of these, in lower case, is in every context match.
 _CONTEXT_HINTS = ("pass", "secret", "token", "key", "credential", "signature", "bearer", "authori", "client", "pwd", "salt", "hmac")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
-REACH, AROUND = 96, 1024
-LEAST_CHARS, LEAST_BYTES, LEAST_RATIO = 16, 12, 0.7
-LEAST_BITS = 5.2
-#: Bits, as a hexadecimal digit, of each letter a to z after a word's start, then after a, b and so on to z: counted over
-#: the ASCII words of four letters or more in the vocabulary piece_bpe_32k.model.
-PAIR_BITS = (
-    "44344455567546648434665b99 8545a7585a7343b5b343667868 37c829cc46c38a39c35739cc6c 3d6a3dd34b44cc2ba4735cdd7a 3b951a6b28c67849b448478c6a 484366696a945386723486758a "
-    "3cca339c2ca4ca38a4744cac6c 49a928533ca47449c3564acc7c 27a92acc3cc7763ca5745c9c6c 5645465aaa845236954395d8e6 29972999696997296959299999 49a917782a85a568a6356a7a69 "
-    "3885278a3c838937cb55579d4d 24ac29ac3cc84833cc6a5ccc7c 4b43363949688559aa3266ab7a 665586696a644255c35545587b 3b983b954dd39a34d2545dbd7d 99999999999797977779099999 "
-    "386528693e675537b544569c59 5a4938a43d6678448a324b7d6b 3a7a28b42bb68848e3455a8c5a 5545465a5ba44385d333a8d999 3bbb1bbb2bb89b4bba8b8bbb8b 299829b43b97b43bb4488bbb7b "
-    "48393796399989629982679759 5556387a48a44443a634aa6aa8 39991999399799399996596965 "
-).split()
+REACH, AROUND = 96, 512
+LEAST_CHARS, LEAST_NOVELTY, LEAST_RATIO = 16, 0.96, 0.5
+SHUFFLES, LEVEL = 6, 15
 
 #: Identifiers and code that surround secrets.
 DICTIONARY = (
@@ -63,17 +55,38 @@ DICTIONARY = (
 ).encode()
 
 
+def vocabulary_words(model_file: str, common: int = 3000) -> bytes:
+    """The words of four ASCII letters or more in a public sentencepiece vocabulary, as they are and with a capital; its
+    first ones also as parts of identifiers."""
+    from sentencepiece import SentencePieceProcessor
+
+    lib = SentencePieceProcessor(model_file=model_file)
+    words = list(dict.fromkeys(w for i in range(lib.get_piece_size()) if re.fullmatch("[A-Za-z]{4,}", w := lib.id_to_piece(i).lstrip("\u2581"))))
+    first = [w for w in words if w.islower()][:common]
+    parts = [*words, *dict.fromkeys(w.capitalize() for w in words), *(f"_{w}" for w in first), *(f"-{w}" for w in first), "".join(w.capitalize() for w in first), ""]
+    return " ".join(parts).encode()
+
+
 class Novelty:
-    """Marginal compressed bytes under the dictionary."""
+    """Marginal compressed bytes under the dictionary, and their share of what the same characters cost in disorder."""
 
-    def __init__(self, dictionary: bytes = DICTIONARY, level: int = 9):
-        data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, words: bytes = b"", level: int = LEVEL):
+        data = zstandard.ZstdCompressionDict(words + DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.compress = zstandard.ZstdCompressor(dict_data=data, compression_params=params).compress
 
-    def marginal(self, before: str, candidate: str, after: str = "") -> int:
-        around = f"{before} {after}".encode(errors="replace")
-        return len(self.compress(around + b" " + candidate.encode())) - len(self.compress(around + b" "))
+    def found(self, before: str, candidate: str, after: str) -> bool:
+        around = f"{before} {after}".encode(errors="replace") + b" "
+        alone = len(self.compress(around))
+        cost = lambda s: len(self.compress(around + s.encode())) - alone
+        own = cost(candidate)
+        if own < LEAST_RATIO * len(candidate):
+            return False
+        order, chars, total = random.Random(candidate), list(candidate), 0
+        for _ in range(SHUFFLES):
+            order.shuffle(chars)
+            total += cost("".join(chars))
+        return own * SHUFFLES >= LEAST_NOVELTY * total
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -88,37 +101,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _mixed(s: str) -> bool:
-    """At least two digits beside letters: no word."""
-    digits = sum(c.isdigit() for c in s)
-    return 2 <= digits < len(s) and any(c.isalpha() for c in s)
-
-
-def word_bits(s: str) -> float:
-    """The cost of an ASCII string in bits, under the letter pairs of words, camel case and runs of digits."""
-    total, before, capitals = 0.0, " ", 0
-    for c in s:
-        if c.isalpha():
-            after = before.lower() if before.isalpha() else " "
-            if c.isupper() and before.islower():
-                total, after = total + 2, " "
-            elif c.islower() and capitals > 1:
-                total += 3
-            total += int(PAIR_BITS[ord(after) - 96 if after != " " else 0][ord(c.lower()) - 97], 16)
-            capitals = capitals + 1 if c.isupper() else 0
-        else:
-            total += 3 if not c.isdigit() else 3.32 if before.isdigit() else 6.32
-            capitals = 0
-        before = c
-    return total
-
-
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(h in low for h in _CONTEXT_HINTS):
         return []
     out: list[tuple[int, int, int]] = []
-    taken = list(base)
+    # base spans as disjoint stretches: sorted starts and the furthest end so far
+    starts, ends = [], []
+    for a, _, z in base:
+        starts.append(a)
+        ends.append(max(z, ends[-1]) if ends else z)
     done = 0
     for m in CONTEXT.finditer(text):
         at = max(done, m.end())
@@ -127,16 +119,14 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
             if c.start() >= limit:
                 break
             done = c.end()
-            a, z = c.span()
             s = c.group().strip(".=-~")
-            a += c.group().find(s) if s else 0
+            a = c.start() + (c.group().find(s) if s else 0)
             z = a + len(s)
-            if len(s) < LEAST_CHARS or not _mixed(s) and word_bits(s) < LEAST_BITS * len(s) or any(a < e and b < z for b, _, e in taken):
+            before = bisect(starts, z - 1)
+            if len(s) < LEAST_CHARS or before and ends[before - 1] > a:
                 continue
-            cost = novelty.marginal(text[max(0, a - AROUND) : a], s, text[z : z + AROUND])
-            if cost >= LEAST_BYTES and cost >= LEAST_RATIO * len(s):
+            if novelty.found(text[max(0, a - AROUND) : a], s, text[z : z + AROUND]):
                 out.append((a, 3, z))
-                taken.append((a, 3, z))
     return out
 
 
@@ -144,11 +134,15 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in sorted(spans))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel."""
+def scan(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel.
+
+    vocabulary: the path of a sentencepiece vocabulary file, which is read on the driver.
+    """
+    words = vocabulary_words(vocabulary) if vocabulary else b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(words)
         for b in batches:
             counts: list[list[int]] = [[], [], [], []]
             digests, spans = [], []
