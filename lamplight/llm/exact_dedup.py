@@ -4,7 +4,8 @@
 slot, the full digest, the winner's locator (its doc_id) and the number of rows. `merge` looks the distinct digests of
 new rows up: where the slot holds the same 32 bytes the row repeats the history and the slot is brought up to date;
 the others, nonmembers, are groups of their own. Digests are pre-aggregated before every shuffle, so a text with a
-third of all rows is one entry, and a shard has about SHARD_DIGESTS entries at any size of the table.
+third of all rows is one entry. A shard has at most about SHARD_DIGESTS entries at any size of the table, and a task takes
+the shards that the session's shuffle partitions deal it, one at a time.
 
 Defined results: a null text counts as empty; texts are equal only if identical; of equal texts the largest doc_id
 stays; a null doc_id ranks below all others; rows that repeat doc_id and text are flagged alike; an empty table gives
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mph import MinimalPerfectHash, words
-from .work import keep_rows, text_digest, written
+from .work import drop_rows, in_arrow, text_digest, written
 
 SHARD_DIGESTS = 65_536
 INDEX = "shard long, hash binary, digests binary, winners array<long>, counts array<long>"
@@ -72,7 +73,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(history: DataFrame, n_shards: int) -> DataFrame:
     """history: (digest, winner, n), digests distinct."""
-    return history.withColumn("shard", _shard(n_shards)).repartition(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(_build, INDEX)
+    return in_arrow(history.withColumn("shard", _shard(n_shards)).repartition("shard").sortWithinPartitions("shard"), _build, INDEX)
 
 
 _GROUPS_ARROW = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("known", pa.bool_())])
@@ -110,14 +111,14 @@ def merge(index: DataFrame, new: DataFrame, n_shards: int) -> DataFrame:
     null = lambda kind: F.lit(None).cast(kind)
     probes = new.select(_shard(n_shards), null("binary").alias("hash"), null("binary").alias("digests"), null("array<long>").alias("winners"), null("array<long>").alias("counts"), "digest", "winner", "n")
     held = index.select("shard", "hash", "digests", "winners", "counts", null("binary").alias("digest"), null("long").alias("winner"), null("long").alias("n"))
-    return held.unionByName(probes).repartition(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(_merge, GROUPS)
+    return in_arrow(held.unionByName(probes).repartition("shard").sortWithinPartitions("shard"), _merge, GROUPS)
 
 
 def groups(rows: DataFrame) -> DataFrame:
     """The groups of a digest table: its lower half by doc_id is the history, the upper half the new batch."""
     lo, hi, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     split = (lo + hi) // 2 if lo is not None else 0
-    n_shards = max(1, -(-n // SHARD_DIGESTS), min(64, n // 2048))
+    n_shards = max(1, -(-n // SHARD_DIGESTS), min(1024, n // 256))
     old = F.coalesce(F.col("doc_id") <= split, F.lit(True))
     index = build_index(distinct_digests(rows.filter(old)), n_shards)
     return merge(index, distinct_digests(rows.filter(~old)), n_shards)
@@ -133,4 +134,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs, of equal texts only the row with the largest doc_id, all columns."""
     rows = written(digest_table(docs), "digests")
-    return keep_rows(docs, groups(rows).select(F.col("keep_id").alias("doc_id"), "digest"))
+    g = groups(rows).filter("group_size > 1").select(F.col("digest").alias("d"), "keep_id")
+    copies = rows.join(g, rows["digest"] == g["d"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return drop_rows(docs, written(copies.select("doc_id", "digest").distinct(), "gone"), rows)

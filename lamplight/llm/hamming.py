@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import written
+from .work import in_arrow, written
 
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
@@ -154,7 +154,7 @@ def top_codes(codes: DataFrame, queries: DataFrame, k: int, shard_codes: int = S
         sent = sent.join(F.broadcast(sizes), "s").filter(F.bit_count(F.shiftright("value", rest).bitwiseXOR(F.col("part"))) <= last)
         sent = sent.select("s", "part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("is_query"), F.col("q").alias("code"), F.lit(0).cast("long").alias("least"), F.col("bound").cast("int").alias("n"))
         keys = ["s", "part", "salt"]
-        found = index.unionByName(sent).repartition(*keys).sortWithinPartitions(*keys, "is_query").mapInArrow(_search(first, last, k), "q long, code long, least long, n int, d int")
+        found = in_arrow(index.unionByName(sent).repartition(*keys).sortWithinPartitions(*keys, "is_query"), _search(first, last, k), "q long, code long, least long, n int, d int")
         # one shuffle by query serves the removal of repeats, the ranks and the k-th distances
         found = found.unionByName(best.drop("kth")).repartition("q").dropDuplicates(["q", "code"])
         ranked = found.withColumn("rank", F.row_number().over(near)).filter((F.col("rank") <= k) | F.col("code").isNull())

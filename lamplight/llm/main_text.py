@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .work import in_arrow
+
 TRAIN_PAGES = 400
 #: Bounds of what is learned: words stay positive, tags negative.
 LEAST_WORD, LEAST_TAG, MOST_TAG = 0.2, -6.0, -0.02
@@ -441,7 +443,7 @@ def learn_weights(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Weights:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64()))], names=["kind", "name", "n"])
 
     # a bounded number of pages; of names there are at most as many rows as those pages have
-    sums = rows.join(some, "place", "left_semi").select("html").mapInArrow(run, "kind int, name string, n long").groupBy("kind", "name").agg(F.sum("n").alias("n")).collect()
+    sums = in_arrow(rows.join(some, "place", "left_semi").select("html"), run, "kind int, name string, n long").groupBy("kind", "name").agg(F.sum("n").alias("n")).collect()
     counts = [Counter({r["name"]: r["n"] for r in sums if r["kind"] == k}) for k in range(4)]
     known = Weights.learn(labelled_pages())
     return known.with_other(Weights.of_counts(counts[2], counts[3], mark_odds(counts[0], counts[1]))) if sums else known
@@ -457,4 +459,4 @@ def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_arrow(rows, run, "page_id long, url string, text string, n_chars long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import keep_rows, text_digest, whole_text, written
+from .work import copied_rows, in_arrow, small, text_digest, whole_text, written
 
 MAX_EPOCHS = 3
 BIN_ROWS = 4096
@@ -38,7 +38,8 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size, rows, least_weight, target, pos) of each source; the windows run over one row a source.
+    """(source, source_size, rows, least_weight, target, pos) of each source; the windows run over one row a source, in one
+    task, so there should be no more than some millions of sources.
 
     With sources in the order of cap / weight, those before the first k whose share of what the earlier ones leave is
     under its cap get their caps; the others get that share by weight. This is where repeated resharing ends.
@@ -108,7 +109,7 @@ def mix_copies(docs: DataFrame, weights: DataFrame | None = None, digest: bool =
     s = written(s, "targets")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 11).cast("double") + 0.5) * F.lit(2.0**-53)
     key = -F.log(u) / F.col("quality_weight")
-    keyed = sizes.withColumn("key", key).join(s, F.col("source").eqNullSafe(F.col("of")))
+    keyed = sizes.withColumn("key", key).join(small(s), F.col("source").eqNullSafe(F.col("of")))
     # by the least weight no bin gets more than (weight / least weight) times its share of the documents of a weight
     place = F.least(F.floor((1 - F.exp(-F.col("key") * F.col("least_weight"))) * F.col("bins")), F.col("bins") - 1)
     keyed = written(keyed.withColumn("bin", place.cast("long")).drop("of", "source", "quality_weight", "rows", "bins", "least_weight"), "keyed")
@@ -120,7 +121,7 @@ def mix_copies(docs: DataFrame, weights: DataFrame | None = None, digest: bool =
     names = ["doc_id", "digest", "size", "source_size", "target"]
     whole = rows.filter(~cut).select(*names, (F.col("epochs") + ((F.col("to") <= F.col("budget")) & (F.col("budget") > 0)).cast("int")).alias("copies"))
     edge = rows.filter(cut).withColumn("room", F.col("budget") - F.col("before")).select(*names, "pos", "room", "epochs", "key")
-    filled = edge.repartition("pos").sortWithinPartitions("pos", "key", "doc_id", "size").mapInArrow(_fill, "doc_id long, digest binary, size long, source_size long, target double, copies int")
+    filled = in_arrow(edge.repartition("pos").sortWithinPartitions("pos", "key", "doc_id", "size"), _fill, "doc_id long, digest binary, size long, source_size long, target double, copies int")
     return whole.unionByName(filled)
 
 
@@ -131,5 +132,5 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, bin_rows: int
 
 def mixed_documents(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken."""
-    copies = mix_copies(docs, weights, digest=True).groupBy("doc_id", "digest").agg(F.sum("copies").alias("copies"))
-    return keep_rows(docs, copies)
+    copies = mix_copies(docs, weights, digest=True).groupBy("doc_id", "digest").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    return copied_rows(docs, copies)

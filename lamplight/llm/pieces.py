@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .token_tables import PieceEncoder
-from .work import whole_text
+from .work import in_arrow, whole_text
 
 #: One encoder for each worker process, so that its tables serve all tasks of the worker.
 _encoders: dict[str, PieceEncoder] = {}
@@ -41,7 +41,7 @@ def encode_pieces(docs: DataFrame, model_file: str) -> DataFrame:
                 flat = pa.Array.from_buffers(pa.int32(), len(ids) // 4, [None, pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), pa.ListArray.from_arrays([0, len(flat)], flat), pa.array([text.decode()])], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), run, "doc_id long, ids array<int>, decoded string")
 
 
 def piece_digests(docs: DataFrame, model_file: str) -> DataFrame:
@@ -58,4 +58,4 @@ def piece_digests(docs: DataFrame, model_file: str) -> DataFrame:
                 of_text.append(hashlib.sha256(text).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import whole_text
+from .work import in_arrow, whole_text
 
 KINDS = ("assign", "access", "hex", "novel")
 #: The contract's patterns; failing lengths are dropped after matching.
@@ -158,4 +158,4 @@ def scan(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *n[:3], pa.array(digests, pa.string()), pa.array(spans, pa.string()), n[3]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
+    return in_arrow(rows, run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")

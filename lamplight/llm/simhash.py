@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import keep_rows, text_digest, whole_text, written
+from .work import drop_rows, in_arrow, text_digest, whole_text, written
 
 SEED = 42
 WORDS = 3
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, k: int = WORDS, digest: bool = False) -> DataF
     """(doc_id, [digest,] fp long) of every row."""
     more = [text_digest().alias("digest")] if digest else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, whole_text().alias("text"))
-    return rows.mapInArrow(_fingerprints(k), "doc_id long, digest binary, fp long" if digest else "doc_id long, fp long")
+    return in_arrow(rows, _fingerprints(k), "doc_id long, digest binary, fp long" if digest else "doc_id long, fp long")
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -134,7 +134,7 @@ def _runs(radius: int, all_masks: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.empty(0, np.int64)] * 4
-        for b in [*_with_end(batches)]:
+        for b in _with_end(batches):
             cols = [np.concatenate([h, b.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held)] if b is not None else held
             n = len(cols[0])
             cut = np.flatnonzero(np.any([np.diff(c) != 0 for c in cols[:3]], axis=0)) + 1 if n else np.empty(0, np.int64)
@@ -182,7 +182,7 @@ def links(prints: DataFrame, radius: int = RADIUS, heavy: int = HEAVY) -> DataFr
         rows = rows.select("v", F.when(F.col("block") >= 0, F.xxhash64("key", "block", part)).otherwise(F.col("key")).alias("key"), "block", "fp")
     else:
         rows = rows.select("v", "key", F.lit(-1).alias("block"), "fp")
-    return rows.repartition("v", "block", "key").sortWithinPartitions("v", "block", "key", "fp").select("v", "block", "key", "fp").mapInArrow(_runs(radius, all_masks), "a long, b long")
+    return in_arrow(rows.repartition("v", "block", "key").sortWithinPartitions("v", "block", "key", "fp").select("v", "block", "key", "fp"), _runs(radius, all_masks), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -226,6 +226,7 @@ def drop_near_copies(docs: DataFrame, k: int = WORDS, radius: int = RADIUS, heav
     """docs, of each component only the row with the smallest doc_id (then the smallest text digest), all columns."""
     prints = written(fingerprints(docs, k, digest=True), "fingerprints")
     c = classes(prints.select("doc_id", "fp"), radius, heavy).withColumnRenamed("fp", "c")
-    joined = prints.join(c.hint("merge"), prints["fp"] == c["c"])
-    first = joined.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"))
-    return keep_rows(docs, first.select("first.doc_id", "first.digest"))
+    joined = written(prints.join(c.hint("merge"), prints["fp"] == c["c"]).select("doc_id", "digest", "component_id"), "classes")
+    first = joined.groupBy(F.col("component_id").alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"))
+    others = joined.join(first, F.col("component_id").eqNullSafe(F.col("of"))).filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))))
+    return drop_rows(docs, written(others.select("doc_id", "digest").distinct(), "gone"), joined.select("doc_id", "digest"))

@@ -12,7 +12,7 @@ import re
 import struct
 from collections.abc import Callable, Iterable
 
-TABLE_CHUNKS = 250_000
+TABLE_CHUNKS = 100_000
 
 
 class ChunkTable:

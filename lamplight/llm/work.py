@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +32,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch; Spark's own default lets a task hold 64 MB of texts in the JVM and as much in Python.
+BATCH_BYTES = 8 << 20
+SPARK_BATCH = "67108864b"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow in batches of about BATCH_BYTES, or of what the session sets: where it sets none, this does."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH_SETTING) == SPARK_BATCH:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text as a string, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -40,20 +57,56 @@ def text_digest(column: str = "text") -> Column:
 
 
 _KEY = "__llm_text_digest"
+#: Tables of up to so many short rows are sent to all executors, about 100 bytes a row; larger ones are joined by shuffles.
+SMALL_ROWS = 250_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, which must be cheap to count, marked for broadcast if it has at most SMALL_ROWS rows; else as it is."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """The rows of docs but those that gone (doc_id, digest) lists, all columns; of rows that repeat doc_id and text one.
+
+    Texts stay where they are while gone is small. seen: (doc_id, digest) of all rows of docs, if there is such a table.
+    """
+    names = docs.columns
+    rows = docs.withColumn(_KEY, text_digest())
+    if seen is None:
+        seen = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(_KEY).alias("digest"))
+    again = written(seen.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "digest"), "again")
+
+    def listed(pairs: DataFrame, how: str) -> DataFrame:
+        k = small(pairs.select(F.col("doc_id").alias("__llm_id"), F.col("digest").alias("__llm_digest")))
+        return rows.join(k, rows["doc_id"].cast("long").eqNullSafe(k["__llm_id"]) & (rows[_KEY] == k["__llm_digest"]), how)
+
+    if again.isEmpty():
+        return listed(gone, "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    out = listed(written(gone.unionByName(again), "gone"), "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    one = again.join(gone.select(F.col("doc_id").alias("of"), F.col("digest").alias("of_digest")), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left_anti")
+    return out.unionByName(_first_of_repeats(listed(written(one, "again"), "left_semi"), names))
+
+
+def _first_of_repeats(rows: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """Of rows with equal doc_id and digest that with the least JSON form, so that reruns agree."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+    one = rows.groupBy("doc_id", _KEY).agg(F.min_by(whole, F.to_json(whole)).alias("__llm_row"), *[F.first(c).alias(c) for c in more])
+    return one.select("__llm_row.*", *more)
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs that kept (doc_id, digest[, copies]) lists, all columns, so many copies of each, else one.
+def copied_rows(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows of docs as often as copies (doc_id, digest, copies, rows) says, all columns; rows: how many repeat the pair.
 
-    Rows of docs that repeat doc_id and text count once. The join and their removal share one shuffle on
-    (doc_id, digest); kept must list a pair once.
+    Rows that repeat doc_id and text count once.
     """
     names = docs.columns
-    many = "copies" in kept.columns
-    k = kept.select(F.col("doc_id").alias("__llm_id"), F.col("digest").alias("__llm_digest"), *([F.col("copies").alias("__llm_copies")] if many else []))
+    kept = copies.filter("copies > 0").select(F.col("doc_id").alias("__llm_id"), F.col("digest").alias("__llm_digest"), F.col("copies").cast("int").alias("__llm_copies"), F.col("rows").alias("__llm_rows"))
+    kept = written(kept, "copies")
+    k = kept.hint("merge")  # nearly as many rows as docs: never small
     rows = docs.withColumn(_KEY, text_digest())
-    out = rows.join(k.hint("merge"), rows["doc_id"].eqNullSafe(k["__llm_id"]) & (rows[_KEY] == k["__llm_digest"]), "inner" if many else "left_semi")
-    out = out.dropDuplicates(["doc_id", _KEY])
-    if many:
-        out = out.filter(F.col("__llm_copies") > 0).withColumn("__llm_copy", F.explode(F.sequence(F.lit(1), F.col("__llm_copies").cast("int"))))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    joined = rows.join(k, rows["doc_id"].cast("long").eqNullSafe(kept["__llm_id"]) & (rows[_KEY] == kept["__llm_digest"]))
+    out = joined.filter("__llm_rows = 1").select(*[F.col(f"`{c}`") for c in names], "__llm_copies")
+    if not kept.filter("__llm_rows > 1").isEmpty():
+        out = out.unionByName(_first_of_repeats(joined.filter("__llm_rows > 1"), names, "__llm_copies"))
+    return out.withColumn("__llm_copy", F.explode(F.sequence(F.lit(1), F.col("__llm_copies")))).select(*[F.col(f"`{c}`") for c in names])

@@ -205,3 +205,34 @@ def test_similar_groups_equal_all_pairs():
         if near(a, b):
             name = [name[i] if x == name[j] else x for x in name]
     assert len(set(got)) == len(set(name)) == len(set(zip(got, name, strict=True))) > 1
+
+
+def test_bins_of_a_component_are_compared_with_each_other(spark):
+    r = random.Random(4)
+    rows, sets = [], []
+    for root in range(3):
+        base = r.sample(range(1 << 40), 60)
+        chain = [list(base)]
+        for _ in range(30):  # neighbours link, far ones do not
+            chain.append([x if r.random() > 0.05 else r.getrandbits(40) for x in chain[-1]])
+        for s in chain + [r.sample(range(1 << 40), 60) for _ in range(5)]:
+            s = np.unique(np.array(s, dtype=np.uint64))
+            rows.append((root, len(rows), len(s), bytearray(s.tobytes())))
+            sets.append((root, set(s.tolist())))
+    df = spark.createDataFrame(rows, "root long, node long, n long, shingles binary")
+    parent = list(range(len(sets)))
+    for i, j in combinations(range(len(sets)), 2):
+        (a, x), (b, y) = sets[i], sets[j]
+        if a == b and 5 * len(x & y) >= 4 * len(x | y):
+            old, new = max(parent[i], parent[j]), min(parent[i], parent[j])
+            parent = [new if p == old else p for p in parent]
+    want = Counter(Counter(parent).values())
+    for size in (1 << 20, 500):  # one bin; five of them
+        got = {x.node: x.grp for x in near_copies.exact_groups(df, size).collect()}
+        assert len(got) == len(rows) and Counter(Counter(got.values()).values()) == want
+        assert all(got[i] == got[j] for i, j in enumerate(parent))
+
+
+def test_fingerprints_over_many_blocks():
+    text = " ".join(f"w{i % 977}x{i % 1013}" for i in range(simhash.BLOCK + 900))
+    assert simhash.fingerprint(text.encode()) == fingerprint(text)
