@@ -1,8 +1,9 @@
 """WARC archives through a chunked record table.
 
-`record_rows` turns pages into rows of (record identifier, chunk number): a payload over CHUNK_CHARS becomes a
-segmented record (a response and its continuations), so that no writer or reader ever holds a whole oversized record.
-`write_archives` writes the rows as gzipped .warc content with Spark's own committer, on any shared file system.
+`record_rows` turns pages into rows of (record identifier, chunk number): a payload over CHUNK_BYTES becomes a
+segmented record (a response and its continuations), cut off the payload one at a time, so that neither a writer nor a
+reader holds a record beside the row it comes from. `write_archives` writes the rows as gzipped .warc content with Spark's own
+committer, on any shared file system, ARCHIVE_RECORDS rows an archive at most, which bounds its bytes.
 `read_archives` decompresses archives as streams, digests payloads piece by piece, passes the chunks of segmented
 records on as (identifier, number, bytes) rows and carries an incremental digest through them in order. A payload that
 does not match its record's digest is an error.
@@ -28,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import new_path, written
+from .work import in_arrow, new_path, written
 
-CHUNK_CHARS = 32_768
+CHUNK_BYTES = 32_768
+#: Records of an archive, so that one has at most this times CHUNK_BYTES and its heads.
+ARCHIVE_RECORDS = 4096
+#: Bytes of the record table that a task gives on at a time.
+OUT_BYTES = 4 << 20
 PIECE = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n"
-HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -73,11 +78,79 @@ def _row_key() -> Column:
     return F.unhex(F.sha2(F.concat_ws(" ", *parts), 256))
 
 
-def _record_id(page: Column, url: Column, digest: Column, copy: Column) -> Column:
-    return F.concat(F.lit("urn:x-page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), F.hex(F.xxhash64(url)), F.lit(":"), digest, F.lit(":"), copy.cast("string"))
+def _head(kind: str, rid: str, **fields: object) -> bytes:
+    lines = [("WARC-Type", kind), ("WARC-Record-ID", f"<{rid}>"), ("WARC-Date", DATE), *((k.replace("_", "-"), v) for k, v in fields.items() if v is not None)]
+    return ("WARC/1.1" + END + "".join(f"{k}: {v}{END}" for k, v in lines) + END).encode()
+
+
+def chunks(payload: bytes, size: int) -> Iterator[tuple[bytes, bool]]:
+    """(piece, last) of a UTF-8 payload, each of at most size bytes unless a character has more; no character is cut."""
+    at, n = 0, len(payload)
+    while True:
+        z = min(n, at + size)
+        while at < z < n and payload[z] & 0xC0 == 0x80:
+            z -= 1
+        if z == at < n:
+            z = at + 1
+            while z < n and payload[z] & 0xC0 == 0x80:
+                z += 1
+        yield payload[at:z], z == n
+        at = z
+        if z == n:
+            return
 
 
-def record_rows(pages: DataFrame, revisit_bytes: int = 0, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def record_parts(row: dict, payload: bytes, chunk_bytes: int) -> Iterator[tuple[str, int, bytes]]:
+    """(record_id, chunk_no, value) of the records of a page and its copies, each without the two line ends that close it."""
+    url = row["url"]
+    target = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
+    digest = row["digest"]
+    name = lambda page, of_url, copy: f"urn:x-page:{'' if page is None else page}:{of_url}:{digest}:{copy}"
+    for copy in range(1, row["copies"] + 1):
+        rid = name(row["page_id"], row["url_key"], copy)
+        known = {"WARC_Payload_Digest": f"sha1:{digest}", "WARC_X_Page_ID": row["page_id"], "WARC_X_Payload_Length": row["n_bytes"]}
+        if row["paired"] and (not row["own"] or copy > 1):
+            first = name(row["of_page"], row["of_url_key"], 1)
+            yield rid, 0, _head("revisit", rid, WARC_Target_URI=target, **known, WARC_Profile=PROFILE, WARC_Refers_To=f"<{first}>", WARC_X_Refers_To_Page=row["of_page"], Content_Length=0)
+            continue
+        for no, (piece, last) in enumerate(chunks(payload, chunk_bytes)):
+            block = HTTP + piece if no == 0 else piece
+            many = {"WARC_Segment_Number": no + 1} if no or not last else {}
+            if no:
+                many |= {"WARC_Segment_Origin_ID": f"<{rid}>"}
+                if last:
+                    many |= {"WARC_Segment_Total_Length": row["n_bytes"] + len(HTTP)}
+                head = _head("continuation", f"{rid}:{no + 1}", WARC_Target_URI=target, **many, Content_Length=len(block))
+            else:
+                head = _head("response", rid, WARC_Target_URI=target, **known, **many, Content_Type="application/http; msgtype=response", Content_Length=len(block))
+            yield rid, no, head + block
+
+
+def _table(chunk_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, int, bytes]] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            ids, numbers, values = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(numbers, pa.int32()), pa.array(values, pa.binary())], names=["record_id", "chunk_no", "value"])
+
+        for b in batches:
+            names, html = b.schema.names[:-1], b.column(b.num_columns - 1).cast(pa.binary())
+            for facts, payload in zip(zip(*[b.column(i).to_pylist() for i in range(len(names))], strict=True), html, strict=True):
+                for part in record_parts(dict(zip(names, facts, strict=True)), payload.as_py() or b"", chunk_bytes):
+                    rows.append(part)
+                    held += len(part[2])
+                    if held > OUT_BYTES:
+                        yield out()
+                        rows, held = [], 0
+        if rows:
+            yield out()
+
+    return run
+
+
+def record_rows(pages: DataFrame, revisit_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(record_id, chunk_no, value): WARC records, each without the two line ends that close it."""
     r = roles(pages, revisit_bytes)
     r = r.select(_row_key().alias("r_key"), *[F.col(c).alias(f"r_{c}") for c in r.columns])
@@ -85,49 +158,16 @@ def record_rows(pages: DataFrame, revisit_bytes: int = 0, chunk_chars: int = CHU
     # payloads are shuffled once, repeated rows but once from each task; the join reuses that shuffle
     rows = rows.withColumn("key", _row_key()).dropDuplicates(["key"])
     joined = rows.join(r.hint("merge"), rows["key"] == r["r_key"])
-    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("r_copies").cast("int"))))
-    revisit = F.col("r_paired") & (~F.col("r_own") | (F.col("copy") > 1))
-    html = F.col("html")
-    chunks = F.when(revisit, F.array(F.lit(""))).when(F.length(html) <= chunk_chars, F.array(html)).otherwise(F.regexp_extract_all(html, F.lit(f"(?s).{{1,{chunk_chars}}}"), F.lit(0)))
-    cut = copies.withColumn("revisit", revisit).withColumn("chunks", chunks).withColumn("n", F.size("chunks")).drop("html").select("*", F.posexplode("chunks").alias("no", "chunk")).drop("chunks")
-    no, n = F.col("no"), F.col("n")
-    rid = _record_id(F.col("page_id"), F.col("url"), F.col("r_digest"), F.col("copy"))
-    first = _record_id(F.col("r_of_page"), F.col("r_of_url"), F.col("r_digest"), F.lit(1))
-    block = F.when(F.col("revisit"), F.lit("")).otherwise(F.concat(F.when(no == 0, F.lit(HTTP)).otherwise(F.lit("")), F.col("chunk")))
-    target = F.regexp_replace(F.regexp_replace(F.col("url"), "\r", "%0D"), "\n", "%0A")
-    total = F.col("r_n_bytes") + len(HTTP)
-
-    def field(name: str, value: Column | str, when: Column | None = None) -> Column:
-        line = F.concat(F.lit(f"{name}: "), F.lit(value) if isinstance(value, str) else value.cast("string"), F.lit(END))
-        return F.coalesce(line if when is None else F.when(when, line), F.lit(""))
-
-    kind = F.when(F.col("revisit"), "revisit").when(no > 0, "continuation").otherwise("response")
-    angle = lambda x: F.concat(F.lit("<"), x, F.lit(">"))
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        field("WARC-Type", kind),
-        field("WARC-Record-ID", angle(F.concat(rid, F.when(no > 0, F.concat(F.lit(":"), (no + 1).cast("string"))).otherwise(F.lit(""))))),
-        field("WARC-Date", DATE),
-        field("WARC-Target-URI", target),
-        field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("r_digest")), no == 0),
-        field("WARC-X-Page-ID", F.col("page_id"), no == 0),
-        field("WARC-X-Payload-Length", F.col("r_n_bytes"), no == 0),
-        field("WARC-Profile", PROFILE, F.col("revisit")),
-        field("WARC-Refers-To", angle(first), F.col("revisit")),
-        field("WARC-X-Refers-To-Page", F.col("r_of_page"), F.col("revisit")),
-        field("WARC-Segment-Number", no + 1, n > 1),
-        field("WARC-Segment-Origin-ID", angle(rid), no > 0),
-        field("WARC-Segment-Total-Length", total, (n > 1) & (no == n - 1)),
-        field("Content-Type", "application/http; msgtype=response", ~F.col("revisit") & (no == 0)),
-        field("Content-Length", F.octet_length(block)),
-        F.lit(END),
-    )
-    return cut.select(rid.alias("record_id"), no.alias("chunk_no"), F.concat(head, block).alias("value"))
-
-
-def write_archives(pages: DataFrame, path: str, revisit_bytes: int = 0, chunk_chars: int = CHUNK_CHARS) -> None:
-    """Gzipped archives of pages under path, one a task."""
-    record_rows(pages, revisit_bytes, chunk_chars).select("value").write.option("lineSep", END + END).option("compression", "gzip").text(path)
+    facts = ["digest", "copies", "n_bytes", "paired", "own", "of_page"]
+    shown = F.when(F.col("r_own") | ~F.col("r_paired"), F.col("html"))  # a page that only revisits needs no payload
+    named = joined.select("page_id", "url", F.hex(F.xxhash64("url")).alias("url_key"), *[F.col(f"r_{c}").alias(c) for c in facts], F.hex(F.xxhash64("r_of_url")).alias("of_url_key"), shown.alias("html"))
+    return in_arrow(named, _table(chunk_bytes), "record_id string, chunk_no int, value binary")
+
+
+def write_archives(pages: DataFrame, path: str, revisit_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES, archive_records: int = ARCHIVE_RECORDS) -> None:
+    """Gzipped archives of pages under path. Records are whole UTF-8 characters, so text is a safe way to write them."""
+    values = record_rows(pages, revisit_bytes, chunk_bytes).select(F.col("value").cast("string").alias("value"))
+    values.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", archive_records).text(path)
 
 
 def _pieces(f, n: int) -> Iterator[bytes]:
@@ -213,7 +253,8 @@ def _join_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         out: list[tuple] = []
-        for rid, no, page, n, digest, kind, refers, chunk in zip(*b.to_pydict().values(), strict=True):
+        for rid, no, page, n, digest, kind, refers, held in zip(*[b.column(i).to_pylist() for i in range(7)], b.column(7), strict=True):
+            chunk = held.as_py()
             if no == 0:
                 out.append((page, n, digest, kind, refers))
                 continue
@@ -234,11 +275,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row a record: page_id, payload_bytes, payload_digest (both of the full payload), record_type, refers_to."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     ddl = "record_id string, no int, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, chunk binary"
-    return files.mapInArrow(_parse, ddl).repartition("record_id").sortWithinPartitions("record_id", "no").mapInArrow(_join_chunks, RESULT)
+    return in_arrow(in_arrow(files, _parse, ddl).repartition("record_id").sortWithinPartitions("record_id", "no"), _join_chunks, RESULT)
 
 
-def warc_round_trip(pages: DataFrame, revisit_bytes: int = 0, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def warc_round_trip(pages: DataFrame, revisit_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Writes the archives of pages in the shared folder and reads them back."""
     path = new_path(pages.sparkSession, "warc")
-    write_archives(pages, path, revisit_bytes, chunk_chars)
+    write_archives(pages, path, revisit_bytes, chunk_bytes)
     return read_archives(pages.sparkSession, path)
