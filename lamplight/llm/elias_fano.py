@@ -1,8 +1,8 @@
-"""Elias-Fano coding of a non-decreasing sequence, with a select structure.
+"""Elias-Fano coding of a non-decreasing sequence, with a select structure over packed bits.
 
 Each of n values up to u is cut into low bits, kept as they are, and high bits, kept as a bit set in which the i-th 1
-stands at position high(i) + i: about 2 + log2(u / n) bits a value. Select finds the i-th 1 from a sample of every
-SAMPLE-th one, so no table of 64-bit offsets is needed.
+stands at position high(i) + i: about 2 + log2(u / n) bits a value. Select finds the i-th 1 from the number of ones before
+each SPAN bytes of the bit set, 32 bits each, then byte by byte: no bit set is unpacked and no table of 64-bit offsets made.
 """
 
 from __future__ import annotations
@@ -11,14 +11,18 @@ import struct
 
 import numpy as np
 
-SAMPLE = 256
+SPAN = 64
+_ONES = np.array([bin(b).count("1") for b in range(256)], dtype=np.uint8)
+#: The place of the k-th 1 of each byte.
+_PLACE = np.array([[*(i for i in range(8) if b >> i & 1), *[0] * (8 - bin(b).count("1"))] for b in range(256)], dtype=np.uint8)
 
 
 class EliasFano:
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        self._bits = np.unpackbits(np.frombuffer(high, np.uint8), bitorder="little")
-        self._samples = np.flatnonzero(self._bits)[::SAMPLE].astype(np.uint32 if len(self._bits) < 1 << 32 else np.uint64)
+        self._high = np.frombuffer(high + bytes(-len(high) % SPAN), np.uint8)
+        counts = _ONES[self._high].reshape(-1, SPAN).sum(axis=1, dtype=np.uint32)
+        self._before = np.cumsum(counts, dtype=np.uint32) - counts  # of a block of under 2^32 values
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -32,20 +36,25 @@ class EliasFano:
         return cls(n, b, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes())
 
     def select(self, i: int) -> int:
-        """The i-th value, from its sampled neighbour."""
+        """The i-th value."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at = int(self._samples[i // SAMPLE])
-        left = i % SAMPLE
-        while left:  # a word of the bit set after the other
-            ones = np.flatnonzero(self._bits[at + 1 : at + 513])
-            if len(ones) >= left:
-                at += 1 + int(ones[left - 1])
-                left = 0
-            else:
-                left -= len(ones)
-                at += 512
-        return at - i << self.low_bits | self._low(np.array([i]))[0].item()
+        return int(self.select_many(np.array([i]))[0])
+
+    def select_many(self, at: np.ndarray) -> np.ndarray:
+        """The values of the given numbers."""
+        span = np.searchsorted(self._before, at, side="right") - 1
+        left = at - self._before[span].astype(np.int64)
+        byte = span * SPAN
+        ahead = np.ones(len(at), dtype=bool)
+        for _ in range(SPAN - 1):
+            ones = _ONES[self._high[byte]]
+            ahead &= left >= ones
+            if not ahead.any():
+                break
+            left -= np.where(ahead, ones, 0)
+            byte += ahead
+        return (byte * 8 + _PLACE[self._high[byte], left] - at << self.low_bits) | self._low(at)
 
     def _low(self, at: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -55,8 +64,7 @@ class EliasFano:
         return ((raw[pos >> 3] >> (pos & 7) & 1).astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
 
     def values(self) -> np.ndarray:
-        at = np.arange(self.n)
-        return (np.flatnonzero(self._bits)[: self.n] - at << self.low_bits) | self._low(at)
+        return self.select_many(np.arange(self.n))
 
     def to_bytes(self) -> bytes:
         return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low + self.high

@@ -7,9 +7,11 @@ executor leaves no part of a file behind. A file is a run of blocks of about BLO
     "EFT1", body length u64 | file number u32, block number u32, documents u64, ids u64, id bytes u8, doc_id flag u8
     | doc_ids i64 each, with a bit set of the nulls | Elias-Fano boundaries (n + 1 values) | the ids | line feed
 
-Ids take 2 bytes where the vocabulary allows it, else 4. Reading gives each document its ids and its start in the
-whole corpus: boundaries within the block, which are decoded all at once since every document of it is read (select is
-for single ones and not used here), block sums within the file, and file sums over the files, a table with one row a file.
+Ids take 2 bytes where the vocabulary allows it, else 4. The text writer writes the bytes of a string as they are, which a
+cast from binary leaves alone; lengths, not line feeds, say where a block ends. A file has FILE_BLOCKS blocks at most, so
+reading holds a bounded one. Reading gives each document its ids and its start in the whole corpus: boundaries by select
+within the block, READ_DOCS documents at a time, then the sums of the blocks before in the same range of documents, and
+those of the ranges before, a table with one row a range.
 
 Defined results: a null text counts as empty, so that only the end id is written; null doc_ids come first; rows that
 repeat a doc_id follow one another, by their texts; an empty table gives no blocks and an empty result; only doc_id and
@@ -30,10 +32,12 @@ from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano
 from .token_tables import WordEncoder
-from .work import new_path, whole_text
+from .work import in_arrow, new_path, small, whole_text, written
 
 MAGIC = b"EFT1"
 BLOCK_IDS = 1 << 20
+FILE_BLOCKS = 16
+READ_DOCS = 4096
 _HEAD = "<IIQQBB"
 
 #: One encoder for each worker process, so that its tables serve all tasks of the worker.
@@ -57,14 +61,14 @@ def pack_block(file: int, block: int, doc_ids: list[int | None], ids: list[bytes
     return MAGIC + struct.pack("<Q", len(body)) + body
 
 
-def blocks_of(data: bytes) -> Iterator[tuple[int, int, list[int | None], EliasFano, np.ndarray]]:
+def blocks_of(data: bytes | pa.Buffer) -> Iterator[tuple[int, int, list[int | None], EliasFano, np.ndarray]]:
     """(file, block, doc_ids, boundaries, ids) of each block of a file."""
-    at, head = 0, struct.calcsize(_HEAD)
+    data, at, head = memoryview(data), 0, struct.calcsize(_HEAD)
     while at < len(data):
         if data[at : at + 4] != MAGIC:
             raise ValueError("not a block of token ids")
         (size,) = struct.unpack_from("<Q", data, at + 4)
-        body, at = memoryview(data)[at + 12 : at + 12 + size], at + 13 + size
+        body, at = data[at + 12 : at + 12 + size], at + 13 + size
         file, block, n, n_ids, width, some = struct.unpack_from(_HEAD, body)
         doc_ids: list[int | None] = np.frombuffer(body, "<i8", n, head).tolist()
         k = head + 8 * n
@@ -105,35 +109,45 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("text")]
     ranged = rows.repartitionByRange(order[0], order[1]).sortWithinPartitions(*order)
-    ranged.select("doc_id", "text").mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    in_arrow(ranged.select("doc_id", "text"), run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_BLOCKS).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str, digests_only: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document of the files under path."""
-    schema = [("file", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
+    schema = [("file", pa.int32()), ("block", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
     if not digests_only:
         schema.append(("ids", pa.list_(pa.int32())))
-    ddl = "file int, doc_id long, at long, n_tokens long, ids_crc32 long" + ("" if digests_only else ", ids array<int>")
+    ddl = "file int, block int, doc_id long, at long, n_tokens long, ids_crc32 long" + ("" if digests_only else ", ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                base = 0
-                for file, _, doc_ids, ef, flat in blocks_of(content.as_py()):
-                    bounds = ef.values()
-                    n = len(doc_ids)
-                    crc = [zlib.crc32(flat[a:z].astype("<u4").tobytes()) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                    cols = [pa.array(np.full(n, file, np.int32)), pa.array(doc_ids, pa.int64()), pa.array(base + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())]
-                    if not digests_only:
-                        cols.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32))))
-                    yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(schema))
-                    base += len(flat)
-
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("content").mapInArrow(run, ddl)
-    sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    # one row a file
-    before = sums.select(F.col("file").alias("of"), (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("base"))
-    placed = rows.join(before, rows["file"] == before["of"])
+                for file, block, doc_ids, ef, flat in blocks_of(content.as_buffer()):
+                    for lo in range(0, len(doc_ids), READ_DOCS):
+                        n = min(READ_DOCS, len(doc_ids) - lo)
+                        bounds = ef.select_many(np.arange(lo, lo + n + 1))
+                        crc = [zlib.crc32(flat[a:z].astype("<u4").tobytes()) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                        cols = [pa.array(np.full(n, file, np.int32)), pa.array(np.full(n, block, np.int32)), pa.array(doc_ids[lo : lo + n], pa.int64()), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())]
+                        if not digests_only:
+                            cols.append(pa.ListArray.from_arrays(pa.array((bounds - bounds[0]).astype(np.int32)), pa.array(flat[bounds[0] : bounds[-1]].astype(np.int32))))
+                        yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(schema))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                found = [(file, block, len(flat)) for file, block, _, _, flat in blocks_of(content.as_buffer())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["file", "block", "total"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("content")
+    rows = in_arrow(files, run, ddl)
+    blocks = written(in_arrow(files, heads, "file int, block int, total long"), "blocks")
+    within = F.sum("total").over(Window.partitionBy("file").orderBy("block")) - F.col("total")
+    ranges = blocks.groupBy("file").agg(F.sum("total").alias("whole"))
+    # one row a range
+    before = ranges.select("file", (F.sum("whole").over(Window.orderBy("file")) - F.col("whole")).alias("base"))
+    starts = written(blocks.withColumn("within", within).join(before, "file").select(F.col("file").alias("f"), F.col("block").alias("b"), (F.col("base") + F.col("within")).alias("base")), "starts")
+    starts = small(starts)
+    placed = rows.join(starts, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
     return placed.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *([] if digests_only else ["ids"]))
 
 
