@@ -8,9 +8,10 @@ trained from confirmed toxic documents and from unlabelled ones by the non-negat
 prior p and the logistic loss, p R+(toxic) + max(0, R-(unlabelled) - p R-(toxic)); where the second part falls below
 zero its gradient is turned round. The prior is the toxic share of the labelled training rows, which also place the score of 0.3.
 
-Training reads bounded samples, in the order of a hash of the doc_id: TOXIC_ROWS confirmed toxic, UNLABELLED_ROWS of
-any kind and CLEAN_ROWS labelled not toxic (for the threshold only). All rows are scored, over whole texts, by
-a task-local table of word weights of bounded size. Rows whose crc32(doc_id) mod 4 is 2 are never trained on.
+Training reads bounded samples of the rows that the label table lists, in the order of a hash of the doc_id: TOXIC_ROWS
+confirmed toxic, UNLABELLED_ROWS of any kind whose labels are not looked at (so the prior is theirs) and CLEAN_ROWS
+labelled not toxic (for the threshold only). All rows are scored, over whole texts, by a task-local table of word weights of
+bounded size. Rows whose crc32(doc_id) mod 4 is 2 are never trained on.
 
 Defined results: null counts as empty; a text without a word has the score of the bias alone; without one toxic
 training row every score is 0; conflicting labels of a doc_id count as toxic, null labels not at all; rows that
@@ -31,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .token_tables import ChunkTable
-from .work import whole_text
+from .work import in_arrow, whole_text
 
 FEATURE_BITS = 18
 TOXIC_ROWS, UNLABELLED_ROWS, CLEAN_ROWS = 2000, 6000, 3000
 CUTOFF = 0.3
-ROUNDS, RATE = 160, 0.05
+ROUNDS, RATE = 50, 0.15
 OFFSET, SHARP, LEAST_WORDS = 1.0, 4.0, 2
 FOLDS, HELD_OUT = 4, 2
 #: Words over LONG_WORD become pieces of PIECE characters that begin every STEP: any STEP + 1 characters in a row are within one.
@@ -208,16 +209,16 @@ def _order(seed: int) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, clean_rows: int = CLEAN_ROWS) -> tuple[dict[str, list[str]], float]:
     """Distinct words of the sampled documents, by kind, and the class prior."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    listed = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & ~held_out())
+    listed = listed.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = listed.filter(F.col("toxic").isNotNull())
     n, hits = known.agg(F.count(F.lit(1)), F.count_if(F.col("toxic") > 0)).first()
     prior = min(0.9, max(1e-3, hits / n)) if n else 1e-3
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & ~held_out())
 
     def some(rows: DataFrame, kind: str, seed: int, limit: int) -> DataFrame:
         return rows.orderBy(_order(seed), "doc_id").limit(limit).select("doc_id").distinct().withColumn("kind", F.lit(kind))
 
-    chosen = some(known.filter("toxic > 0"), "toxic", 1, toxic_rows).unionByName(some(known.filter("toxic <= 0"), "clean", 2, clean_rows)).unionByName(some(ids, "unlabelled", 3, unlabelled_rows))
+    chosen = some(known.filter("toxic > 0"), "toxic", 1, toxic_rows).unionByName(some(known.filter("toxic <= 0"), "clean", 2, clean_rows)).unionByName(some(listed.select("doc_id"), "unlabelled", 3, unlabelled_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id").select("kind", "doc_id", "text")  # at most the sum of the three limits
 
@@ -226,7 +227,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_RO
             words = [" ".join(distinct_words(t.as_py())) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.string())], names=["kind", "doc_id", "words"])
 
-    rows = sample.mapInArrow(run, "kind string, doc_id long, words string").groupBy("kind", "doc_id").agg(F.max("words").alias("words")).collect()
+    rows = in_arrow(sample, run, "kind string, doc_id long, words string").groupBy("kind", "doc_id").agg(F.max("words").alias("words")).collect()
     out: dict[str, list[str]] = {"toxic": [], "clean": [], "unlabelled": []}
     for r in sorted(rows):
         out[r["kind"]].append(r["words"])
@@ -252,7 +253,7 @@ def scores(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
             out = [of(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, score double")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), run, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -278,4 +279,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> Da
             keep = [of(t.as_py()) < cutoff for t in b.column(at)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
