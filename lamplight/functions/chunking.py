@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .naming import chunk_id
-from .strings import is_blank, strip, text_or_empty
+from .strings import is_blank, let, strip, text_or_empty
 
 SIZE, OVERLAP = 800, 100
 PIECE = 900
@@ -18,9 +18,16 @@ def windows(text: Column | str, size: int = SIZE, overlap: int = OVERLAP) -> Col
     t = text_or_empty(text)
     n, step = F.length(t), max(1, size - overlap)
     last = F.ceil(F.greatest(F.lit(0), n - size) / step).cast("int")
-    starts = F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda k: k * step)).otherwise(F.array().cast("array<int>"))
-    cut = F.transform(starts, lambda a: F.struct(strip(F.substr(t, a + 1, F.lit(size))).alias("chunk"), a.alias("start"), F.least(a + size, n).alias("end")))
-    return F.filter(cut, lambda w: F.length(w["chunk"]) > 0)
+    # the text is cut once into steps; a window is a step and as much of those behind it as it overlaps
+    steps = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+
+    def window(parts: Column, k: Column) -> Column:
+        more = F.array_join(F.slice(parts, k + 2, F.lit(-(-(size - step) // step))), "") if size > step else F.lit("")
+        return F.struct(strip(F.concat(parts[k], F.substring(more, 1, max(0, size - step)))).alias("chunk"), (k * step).alias("start"), F.least(k * step + size, n).alias("end"))
+
+    cut = let(steps, lambda parts: F.transform(F.sequence(F.lit(0), last), lambda k: window(parts, k)))
+    none = F.array().cast("array<struct<chunk:string,start:int,end:int>>")
+    return F.filter(F.when(n > 0, cut).otherwise(none), lambda w: F.length(w["chunk"]) > 0)
 
 
 def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

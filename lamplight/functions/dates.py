@@ -17,33 +17,14 @@ FIRST_YEAR, LAST_YEAR = 1990, 2035
 
 # The digits and month names that are read, and the words that anchor a date.
 DEVANAGARI_DIGITS = "०१२३४५६७८९"
-MONTHS = (
-    ("january",),
-    ("february",),
-    ("march",),
-    ("april",),
-    ("may",),
-    ("june",),
-    ("july",),
-    ("august",),
-    ("september",),
-    ("october",),
-    ("november",),
-    ("december",),
-)
-MONTHS_DEVANAGARI = (
-    ("जनवरी",),
-    ("फरवरी", "फ़रवरी"),
-    ("मार्च",),
-    ("अप्रैल",),
-    ("मई",),
-    ("जून",),
-    ("जुलाई",),
-    ("अगस्त",),
-    ("सितंबर", "सितम्बर"),
-    ("अक्टूबर",),
-    ("नवंबर",),
-    ("दिसंबर",),
+MONTHS = {
+    **{"january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12},
+    **{"जनवरी": 1, "फरवरी": 2, "फ़रवरी": 2, "मार्च": 3, "अप्रैल": 4, "मई": 5, "जून": 6, "जुलाई": 7, "अगस्त": 8, "सितंबर": 9, "सितम्बर": 9, "अक्टूबर": 10, "नवंबर": 11, "दिसंबर": 12},
+}
+#: English names of three letters match too, but name no month.
+MONTH_NAMES = (
+    "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+    "|जनवरी|फरवरी|फ़रवरी|मार्च|अप्रैल|मई|जून|जुलाई|अगस्त|सितंबर|सितम्बर|अक्टूबर|नवंबर|दिसंबर"
 )
 ISSUE_ANCHOR = r"दिनांक\s*[:ः]?|दि\.|dated|date\s*[:]"
 DEADLINE_ANCHOR = "अंतिम तिथि|अंतिम दिनांक|अंतिम तारीख|last date"
@@ -52,15 +33,7 @@ _EDGE = rf"(?<![{DIGIT}/.-])"
 _END = rf"(?![{DIGIT}/.-])"
 NUMERIC = rf"{_EDGE}({DIGIT}{{1,2}})[/.-]({DIGIT}{{1,2}})[/.-]({DIGIT}{{4}}){_END}"
 YEAR_FIRST = rf"{_EDGE}({DIGIT}{{4}})[/.-]({DIGIT}{{1,2}})[/.-]({DIGIT}{{1,2}}){_END}"
-
-
-def _month_names() -> str:
-    """Names in full and English ones of three letters; the latter match but name no month."""
-    english = [f"{n[:3]}(?:{n[3:]})?" if n[3:] else n for (n,) in MONTHS]
-    return "|".join([*english, *(n for names in MONTHS_DEVANAGARI for n in names)])
-
-
-MONTH_WORD = rf"(?iu){_EDGE}({DIGIT}{{1,2}}){SPACE}*[,.-]?{SPACE}+({_month_names()}){SPACE}*[,.-]?{SPACE}+({DIGIT}{{4}})(?!{DIGIT})"
+MONTH_WORD = rf"(?iu){_EDGE}({DIGIT}{{1,2}}){SPACE}*[,.-]?{SPACE}+({MONTH_NAMES}){SPACE}*[,.-]?{SPACE}+({DIGIT}{{4}})(?!{DIGIT})"
 
 
 def ascii_digits(c: Column) -> Column:
@@ -83,11 +56,8 @@ def date_epoch(iso: Column | str) -> Column:
 
 
 def _month_number(name: Column) -> Column:
-    low = F.lower(name)
-    out = F.lit(None).cast("string")
-    for i, names in enumerate(zip(MONTHS, MONTHS_DEVANAGARI, strict=True), 1):
-        out = F.when(low.isin([*names[0], *names[1]]), F.lit(str(i))).otherwise(out)
-    return out
+    numbers = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    return F.try_element_at(numbers, F.lower(name)).cast("string")
 
 
 def matches(text: Column, pattern: str) -> Column:

@@ -9,7 +9,8 @@ from .strings import WORD, col, count_of, let, lines, strip, text_or_empty, word
 
 DEVANAGARI, ODIA = r"[\x{0900}-\x{097F}]", r"[\x{0B00}-\x{0B7F}]"
 
-# Phrases of a contaminated translation model, of a model that talks about its task, and of legacy fonts.
+# Fixed values, to LEAST_VOWELS: phrases of a contaminated translation model, of a model that talks about its task, and of
+# legacy fonts; the thresholds of the checks.
 CONTAMINATION = (
     r"\bjehovah\b",
     r"\bwatchtower\b",
@@ -73,22 +74,39 @@ def find_commentary(text: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(phrases(text, COMMENTARY), lambda x: strip(x))))
 
 
+def _refuses(bare: Column, n: Column) -> Column:
+    return (F.length(bare) == 0) | ((n > 0) & ((F.length(bare) < 400) | (n >= 2)))
+
+
 def is_refusal(text: Column | str) -> Column:
-    def judge(bare: Column) -> Column:
-        return let(F.size(find_commentary(bare)), lambda n: (F.length(bare) == 0) | ((n > 0) & ((F.length(bare) < 400) | (n >= 2))))
+    return let(strip(text_or_empty(text)), lambda bare: let(F.size(find_commentary(bare)), lambda n: _refuses(bare, n)))
 
-    return let(strip(text_or_empty(text)), judge)
+
+def _without(every: Column, some: Column) -> Column:
+    """The lines without commentary; a line can only hold some if the whole text does."""
+    kept = F.when(some, F.filter(every, lambda x: ~x.rlike(_alternatives(COMMENTARY)))).otherwise(every)
+    clean = lambda k: F.regexp_replace(strip(F.array_join(k, "\n")), "\n{3,}", "\n\n")
+    return let(kept, lambda k: F.struct(clean(k).alias("text"), (F.size(every) - F.size(k)).alias("removed")))
 
 
 def strip_commentary(text: Column | str) -> Column:
     """struct<text, removed>: without the lines that hold commentary; three line feeds and more become two."""
+    return let(lines(text_or_empty(text)), lambda every: _without(every, F.lit(True)))
+
+
+def commentary(text: Column | str) -> Column:
+    """struct<phrases, refusal, text, removed>: all about a text's commentary from one search of the whole text.
+
+    White space at the ends takes no part in a match, so the search also serves the refusal, which looks at bare text.
+    """
+    t = text_or_empty(text)
 
-    def rest(every: Column) -> Column:
-        kept = F.filter(every, lambda x: ~x.rlike(_alternatives(COMMENTARY)))
-        clean = lambda k: F.regexp_replace(strip(F.array_join(k, "\n")), "\n{3,}", "\n\n")
-        return let(kept, lambda k: F.struct(clean(k).alias("text"), (F.size(every) - F.size(k)).alias("removed")))
+    def judged(found: Column) -> Column:
+        bare = strip(t)
+        rest = let(lines(t), lambda every: _without(every, F.size(found) > 0))
+        return let(rest, lambda r: F.struct(found.alias("phrases"), let(bare, lambda b: _refuses(b, F.size(found))).alias("refusal"), r["text"].alias("text"), r["removed"].alias("removed")))
 
-    return let(lines(text_or_empty(text)), rest)
+    return let(find_commentary(t), judged)
 
 
 def has_translatable(text: Column | str) -> Column:

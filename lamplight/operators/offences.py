@@ -56,6 +56,10 @@ def remove_from_case(case: DataFrame, ids: list[str]) -> DataFrame:
     return case.filter(~F.col("id").isin(ids))
 
 
+def clear_case(case: DataFrame) -> DataFrame:
+    return case.filter(F.lit(False))
+
+
 def verdicts(cases: DataFrame, case: str = "case_id", status: str = "status") -> DataFrame:
     """Counts and the verdict of each case; what is neither heinous nor not is `depends`. A case without offences has no row."""
     s = F.coalesce(F.col(status), F.lit(""))

@@ -42,13 +42,19 @@ def page_count(docs: DataFrame, size: int = PAGE, **scope) -> DataFrame:
 
 
 def basic_search(docs: DataFrame, query: str, state: str | None = None, category: str | None = None, date_from: str | None = None, date_to: str | None = None, scan_body: bool = False) -> DataFrame:
-    """All documents whose title, link text or file name holds the query, or whose body, if that is searched.
+    """All documents whose title, link text or file name holds the query, or whose body, if that is searched: a scan.
 
-    Input order is a sort by (state_ord, doc_ord), for the caller who shows it; the filter is a scan.
+    `in_input_order` sorts what is shown.
     """
     return _scope(docs, state, category, date_from, date_to).filter(keyword(query, ["inferred_title", "link_text", "filename"], "text" if scan_body else None))
 
 
+def in_input_order(docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """By portal, then by place in its file; with a limit a top-k."""
+    rows = docs.orderBy("state_ord", "doc_ord")
+    return rows.limit(limit) if limit is not None else rows
+
+
 def cosine_distance(embedding: Column, query: list[float]) -> Column:
     """1 - cosine in double precision; null where a norm is 0."""
     v, q = embedding.cast("array<double>"), F.array(*[F.lit(float(x)) for x in query])
@@ -79,6 +85,11 @@ def semantic_search(chunks: DataFrame, query: list[float], k: int = NEAREST, fil
     return top.select(title.alias("title"), *shown, *rest)
 
 
+def similarity_label(similarity: Column | str) -> Column:
+    """A similarity as whole per cent."""
+    return F.concat(F.bround((F.col(similarity) if isinstance(similarity, str) else similarity) * 100).cast("int").cast("string"), F.lit("%"))
+
+
 SUMMARY_CHARS = 2500
 
 

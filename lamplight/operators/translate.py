@@ -17,14 +17,27 @@ MOST_SOURCE = 4000
 CACHE = "cache_key string, model string, status string, english string, reasons array<string>, metrics map<string,double>, source_chars int"
 
 
+def is_available(model: str, listing: Callable[[], list[str]]) -> tuple[bool, str]:
+    """Whether an injected listing of models can be read and names the model, up to its tag; and a message."""
+    try:
+        names = listing()
+    except Exception as e:  # a service may be away in any way
+        return False, f"the model service does not answer: {e}"
+    if any(n == model or n.split(":")[0] == model.split(":")[0] for n in names):
+        return True, "ready"
+    return False, f"there is no model {model}"
+
+
 def pieces(rows: DataFrame, key: str = "cache_key", text: str = "source", most: int = PIECE) -> DataFrame:
     """(key, ord, piece, wanted): the pieces of each text and whether there is anything to translate in one."""
     return rows.select(key, F.posexplode(split_for_translation(most)(F.col(text))).alias("ord", "piece")).withColumn("wanted", has_translatable("piece"))
 
 
-def translate(rows: DataFrame, model: str, generate: Callable[[pd.Series], pd.Series], cache: DataFrame | None = None, text: str = "text", force: bool = False) -> tuple[DataFrame, DataFrame]:
+def translate(rows: DataFrame, model: str, generate: Callable[[pd.Series], pd.Series], cache: DataFrame | None = None, text: str = "text", force: bool = False, available: tuple[bool, str] = (True, "ready")) -> tuple[DataFrame, DataFrame]:
     """(results, new cache rows) of the distinct excerpts of rows[text].
 
+    available: what `is_available` says; where the model is away, what the cache does not know is `unavailable`.
+
     generate maps a batch of pieces to outputs, on executors; it is called once for each piece of what the cache does
     not know. Failures are cached like successes. An excerpt is stripped, then cut to MOST_SOURCE characters.
     """
@@ -37,6 +50,13 @@ def translate(rows: DataFrame, model: str, generate: Callable[[pd.Series], pd.Se
         known = todo.join(latest(cache), "cache_key").withColumn("cached", F.lit(True))
         todo = todo.join(cache.select("cache_key"), "cache_key", "left_anti")
 
+    if not available[0]:
+        away = todo.select("cache_key", F.lit(model).alias("model"), F.lit("unavailable").alias("status"), F.lit("").alias("english"), F.array(F.lit(available[1])).alias("reasons"), F.create_map().cast("map<string,double>").alias("metrics"), F.length("source").alias("source_chars"), "source", F.lit(False).alias("cached"))
+        results = away.unionByName(_blank(blank, model))
+        if known is not None:
+            results = results.unionByName(known.select(*results.columns))
+        return results, away.limit(0).drop("source", "cached")
+
     cut = pieces(todo)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,17 +80,20 @@ def translate(rows: DataFrame, model: str, generate: Callable[[pd.Series], pd.Se
         F.col("check.reasons").alias("reasons"), F.map_concat("check.metrics", extra).alias("metrics"), F.length("source").alias("source_chars"),
     )
     named = fresh.join(todo, "cache_key").withColumn("cached", F.lit(False))
-    empty = blank.select("cache_key", F.lit(model).alias("model"), F.lit("failed").alias("status"), F.lit("").alias("english"), F.array(F.lit("empty source")).alias("reasons"), F.create_map().cast("map<string,double>").alias("metrics"), F.lit(0).alias("source_chars"), "source", F.lit(False).alias("cached"))
-    results = named.unionByName(empty)
+    results = named.unionByName(_blank(blank, model))
     if known is not None:
         results = results.unionByName(known.select(*results.columns))
     return results, fresh
 
 
-def latest(cache: DataFrame, order: str | None = None) -> DataFrame:
-    """One row a key of an append-only cache: the last by order, or any."""
+def _blank(blank: DataFrame, model: str) -> DataFrame:
+    return blank.select("cache_key", F.lit(model).alias("model"), F.lit("failed").alias("status"), F.lit("").alias("english"), F.array(F.lit("empty source")).alias("reasons"), F.create_map().cast("map<string,double>").alias("metrics"), F.lit(0).alias("source_chars"), "source", F.lit(False).alias("cached"))
+
+
+def latest(cache: DataFrame, order: str = "put_at") -> DataFrame:
+    """One row a key of an append-only cache: the last by order; where a cache has no such column, that with the largest JSON form."""
     rest = [c for c in cache.columns if c != "cache_key"]
-    pick = F.max_by(F.struct(*rest), order) if order else F.first(F.struct(*rest))
+    pick = F.max_by(F.struct(*rest), F.col(order) if order in rest else F.to_json(F.struct(*rest)))
     return cache.groupBy("cache_key").agg(pick.alias("__v")).select("cache_key", "__v.*")
 
 

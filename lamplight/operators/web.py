@@ -15,11 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamplight.functions.dates import extract_date
-from lamplight.functions.naming import is_followed_link, is_pdf_link
-from lamplight.functions.strings import SPACE, strip_chars, text_or_empty
+from lamplight.functions.naming import category, is_followed_link, is_pdf_link
+from lamplight.functions.strings import SPACE, or_default, strip_chars, text_or_empty
 from lamplight.sources.shared import stored
 
-# Extensions that are no pages; the words in a listing's header cells and the fields that they name.
+from .incremental import numbered
+
+# Fixed values, to ORDER_LABEL: extensions that are no pages; the words in a listing's header cells and the fields that they
+# name; what is cut off the end of an order number.
 SKIPPED = (".pdf", ".jpg", ".jpeg", ".png", ".gif", ".zip", ".xlsx", ".xls", ".doc", ".docx", ".ppt", ".pptx", ".mp4", ".mp3", ".rar", ".csv")
 HEADER_WORDS = (("ವಿಷಯ", "subject"), ("ದಿನಾಂಕ", "order"), ("ಮೂಲ", "source_org"), ("ಮಾಧ್ಯಮ", "medium"), ("ಗಾತ್ರ", "size_reported"))
 TRAILING_DATE = rf"[,;]?{SPACE}*\p{{Nd}}{{1,2}}[/.-]\p{{Nd}}{{1,2}}[/.-]\p{{Nd}}{{4}}{SPACE}*$"
@@ -115,6 +118,7 @@ def listing_fields(table: dict, row: dict) -> dict[str, str]:
     return out
 
 
+LINK_ROWS = 10_000
 LINKS = "page_url string, page_title string, ord int, href string, url string, link_text string, fields map<string,string>"
 
 
@@ -137,8 +141,14 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows: list[tuple] = []
             for u, h in zip(b["u"], b["h"], strict=True):
-                yield pd.DataFrame(list(links_of(u, h)), columns=names)
+                rows += links_of(u, h)
+                if len(rows) > LINK_ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return pages.select(F.col(url).alias("u"), F.col(html).alias("h")).mapInPandas(run, LINKS)
 
@@ -180,19 +190,24 @@ def listing_columns(fields: Column) -> dict[str, Column]:
 def crawl(start: list[str], fetch: Callable[[DataFrame], DataFrame], max_depth: int = 2, max_pages: int | None = None, domain: str | None = None, spark=None) -> tuple[DataFrame, DataFrame]:
     """(pages, pdfs) of a breadth-first crawl.
 
-    fetch: from url to url and html, null html for what is no page; it is the only part that meets the network. A level
-    of the frontier is one job; what was seen is an anti-join over stored tables, so lineage stays short and a
-    lost executor costs a level at most. max_pages counts pages in the order of discovery.
+    fetch: from url to url, html (null for what is no page) and, if it can tell, is_pdf: a page address that answers with a
+    document, as download handlers do. It is the only part that meets the network. A level of the frontier is one job; what
+    was seen is an anti-join over stored tables, so lineage stays short and a lost executor costs a level at most.
+    max_pages counts pages in the order of discovery. pdfs: url, page_url, page_title, link_text, fields, depth, by_handler.
     """
     domain = domain or urlsplit(start[0]).netloc
-    frontier = spark.createDataFrame([(u, i) for i, u in enumerate(start)], "url string, ord long")
+    frontier = spark.createDataFrame([(u, i + 1, u, "") for i, u in enumerate(start)], "url string, ord long, page_url string, link_text string")
     visited, pages, pdfs = frontier.select("url").limit(0), None, None
     left = max_pages
     for depth in range(max_depth + 1):
-        todo = frontier.join(visited, "url", "left_anti")
+        todo = stored(frontier.join(visited, "url", "left_anti"), "todo")
         if left is not None:
-            todo = todo.orderBy("ord").limit(max(0, left))
-        got = stored(fetch(todo).join(todo, "url").filter(F.col("html").isNotNull()), "pages")
+            todo = stored(todo.orderBy("ord").limit(max(0, left)), "todo")
+        answers = fetch(todo.select("url"))
+        if "is_pdf" not in answers.columns:
+            answers = answers.withColumn("is_pdf", F.lit(False))
+        answers = stored(answers.select("url", "html", F.coalesce("is_pdf", F.lit(False)).alias("is_pdf")).join(todo, "url"), "pages")
+        got = answers.filter(F.col("html").isNotNull() & ~F.col("is_pdf")).select("url", "html", "ord")
         visited = stored(visited.unionByName(todo.select("url")).distinct(), "visited")
         n = got.count()
         if left is not None:
@@ -200,11 +215,28 @@ def crawl(start: list[str], fetch: Callable[[DataFrame], DataFrame], max_depth:
         links = page_links(got).join(got.select(F.col("url").alias("page_url"), F.col("ord").alias("__page")), "page_url")
         links = stored(links, "links")
         place = F.struct("__page", "ord")
-        new_pdfs = pdf_links(links).groupBy("url").agg(F.min_by(F.struct("page_url", "page_title", "link_text", "fields"), place).alias("f")).select("url", "f.*", F.lit(depth).alias("depth"))
+        linked = pdf_links(links).groupBy("url").agg(F.min_by(F.struct("page_url", "page_title", "link_text", "fields"), place).alias("f")).select("url", "f.*", F.lit(depth).alias("depth"), F.lit(False).alias("by_handler"))
+        served = answers.filter("is_pdf").select("url", "page_url", F.lit("").alias("page_title"), "link_text", F.create_map().cast("map<string,string>").alias("fields"), F.lit(depth).alias("depth"), F.lit(True).alias("by_handler"))
+        served = served.join(linked.select("url"), "url", "left_anti")
+        new_pdfs = stored(linked.unionByName(served), "pdfs")
         pages = got.withColumn("depth", F.lit(depth)) if pages is None else pages.unionByName(got.withColumn("depth", F.lit(depth)))
         pdfs = new_pdfs if pdfs is None else pdfs.unionByName(new_pdfs.join(pdfs.select("url"), "url", "left_anti"))
-        found = site_pages(links, domain).groupBy("url").agg(F.min(place).alias("at"))
-        frontier = found.select("url", (F.col("at.__page") * 100_000 + F.col("at.ord")).alias("ord"))
+        found = site_pages(links, domain).groupBy("url").agg(F.min_by(F.struct("__page", "ord", "page_url", "link_text"), place).alias("f")).select("url", "f.*")
+        # numbered level by level, so the order key stays small however deep the crawl goes
+        frontier = numbered(found.withColumnRenamed("ord", "__link"), ["__page", "__link"], name="ord").select("url", F.col("ord").cast("long").alias("ord"), "page_url", or_default("link_text", "url").alias("link_text"))
         if not n or (left is not None and left <= 0):
             break
     return pages, pdfs
+
+
+def crawl_records(pdfs: DataFrame, state_key: str, state: str, pdf_dir: str, crawled_at: str, dates: DataFrame | None = None, filename: str = "filename") -> DataFrame:
+    """The metadata records of found documents, which have a file name: ten fields and those of a listing table.
+
+    dates: (url, document_date) read from the files; a listing's date goes before it.
+    """
+    rows = pdfs.join(dates, "url", "left") if dates is not None else pdfs.withColumn("document_date", F.lit(None).cast("string"))
+    table = listing_columns(F.col("fields"))
+    return rows.select(
+        F.col(filename).alias("filename"), F.concat(F.lit(pdf_dir.rstrip("/") + "/"), F.col(filename)).alias("file_path"), F.col("url").alias("pdf_url"), F.col("page_url").alias("source_page"), F.lit(state).alias("state"), F.lit(state_key).alias("state_key"),
+        category("url", "page_title", "link_text").alias("category"), "link_text", or_default(table["table_date"], "document_date").alias("document_date"), F.lit(crawled_at).alias("crawled_at"), *[c.alias(n) for n, c in table.items()],
+    )

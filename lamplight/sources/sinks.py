@@ -10,19 +10,33 @@ from pyspark.sql import functions as F
 _POINTER = "CURRENT"
 
 
+def _fs(spark: SparkSession, path: str):
+    """(file system, Path) of a path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _put_over(spark: SparkSession, source, target) -> None:
+    """Renames over what is there in one step."""
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = kind.getField("OVERWRITE").get(None)
+    context.rename(source, target, options)
+
+
 def write_version(df: DataFrame, path: str) -> str:
-    """A new version beside the old ones, then a pointer to it: readers see one or the other."""
+    """A new version beside the old ones, then a pointer to it, renamed over the old one: readers see one or the other."""
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target, temp = (jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in (_POINTER, f"{_POINTER}-{version}"))
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, target = _fs(spark, f"{path}/{_POINTER}")
+    _, temp = _fs(spark, f"{path}/{_POINTER}-{version}")
     out = fs.create(temp)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(temp, target)
+    _put_over(spark, temp, target)
     return version
 
 
@@ -39,12 +53,13 @@ def replace_partitions(df: DataFrame, path: str, key: str, emptied: DataFrame |
     spark = df.sparkSession
     gone = []
     if emptied is not None:
-        gone = [r[0] for r in emptied.select(key).distinct().join(df.select(key).distinct(), key, "left_anti").collect()]  # a row a portal
+        there = df.select(F.col(key).alias("__key")).distinct()
+        gone = [r[0] for r in emptied.select(key).distinct().join(there, F.col(key).eqNullSafe(F.col("__key")), "left_anti").collect()]  # a row a portal
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
-    jvm = spark.sparkContext._jvm
+    named = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
     for value in gone:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={value}")
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = _fs(spark, f"{path}/{named.getPartitionPathString(key, None if value is None else str(value))}")
+        fs.delete(p, True)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -62,6 +77,15 @@ def orphans(directories: DataFrame, segments: DataFrame, collections: DataFrame,
     return directories.filter(F.length(name) == 36).join(used.distinct(), name, "left_anti")
 
 
+def delete_orphans(spark: SparkSession, root: str, names: DataFrame, name: str = "name") -> int:
+    """Deletes the directories under root that names lists, such as those of `orphans`; how many there were."""
+    n = 0
+    for r in names.select(name).toLocalIterator():
+        fs, p = _fs(spark, f"{root.rstrip('/')}/{r[0]}")
+        n += bool(fs.delete(p, True))
+    return n
+
+
 def replace_if_any(df: DataFrame, path: str) -> bool:
     """Stores a synced table only if it has rows, so that an empty answer does not wipe the last good one."""
     if df.isEmpty():

@@ -207,3 +207,157 @@ def test_stream_equals_batch(spark, tmp_path):
     (src / "2.json").write_text('{"pdf_url": "b"}\n{"pdf_url": "c"}\n')
     run()
     assert sorted(r.pdf_url for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_crawl_is_deep_and_takes_documents_from_handlers(spark):
+    site = {f"https://h.in/{i}": f'<a href="/{i + 1}">next</a><a href="/side{i}">side</a>' for i in range(7)} | {"https://h.in/": '<a href="/0">zero</a><a href="/get?Id=7">the form</a>', "https://h.in/side3": '<a href="/doc.pdf">d</a>'}
+
+    def fetch(todo):
+        get = F.udf(lambda u: site.get(u), "string")
+        return todo.select("url", get("url").alias("html"), F.contains("url", F.lit("get?Id")).alias("is_pdf"))
+
+    pages, pdfs = web.crawl(["https://h.in/", "https://h.in/0"], fetch, max_depth=6, spark=spark)
+    assert {r.url: r.depth for r in pages.collect()} == {"https://h.in/": 0, "https://h.in/0": 0, **{f"https://h.in/{i}": i for i in range(1, 7)}, "https://h.in/side3": 4}
+    assert sorted((r.url, r.link_text, r.by_handler, r.page_url) for r in pdfs.collect()) == [("https://h.in/doc.pdf", "d", False, "https://h.in/side3"), ("https://h.in/get?Id=7", "the form", True, "https://h.in/")]
+    named = pdfs.withColumn("filename", F.concat(F.lit("f"), F.col("depth").cast("string"), F.lit(".pdf")))
+    dates = spark.createDataFrame([("https://h.in/doc.pdf", "2024-01-02")], "url string, document_date string")
+    r = {x.pdf_url: x for x in web.crawl_records(named, "k", "K", "k_pdfs/", "2025-01-01", dates).collect()}["https://h.in/doc.pdf"]
+    assert (r.file_path, r.document_date, r.state_key, r.crawled_at, r.source_page, r.subject) == ("k_pdfs/f4.pdf", "2024-01-02", "k", "2025-01-01", "https://h.in/side3", None)
+
+
+def test_pages_and_documents_are_told_apart(spark):
+    rows = [("a", 200, "text/html; charset=utf-8", b"<p>x</p>", None), ("b", 200, "application/octet-stream", b"%PDF-1.4", None), ("c", 200, "application/octet-stream", b"MZ", None), ("d", 404, "text/html", None, "status 404"), ("e", 200, "image/png", b"x", None)]
+    got = readers.page_answers(spark.createDataFrame(rows, "url string, status int, content_type string, body binary, error string"))
+    assert sorted((r.url, r.html, r.is_pdf) for r in got.collect()) == [("a", "<p>x</p>", False), ("b", None, True), ("c", None, False), ("d", None, False), ("e", None, False)]
+
+
+def test_downloads_leave_whole_files_or_nothing(spark, tmp_path):
+    root = str(tmp_path / "pdfs")
+
+    def stream(url):
+        yield b"%PDF"
+        if "bad" in url:
+            raise OSError("cut off")
+        yield b" rest"
+
+    meta = spark.createDataFrame([("a.pdf", "https://h/a"), ("b.pdf", "https://h/bad"), ("c.pdf", None), ("../d.pdf", "https://h/d"), ("there.pdf", "https://h/t")], "filename string, pdf_url string")
+    have = spark.createDataFrame([("there.pdf",)], "filename string")
+    done = readers.fetch_missing(meta, have, stream, readers.FileStore(root)).cache()
+    assert sorted((r.filename, r.length) for r in done.collect() if r.error is None) == [("a.pdf", 9)]
+    assert readers.fetch_counts(done).first() == (1, 3)
+    assert [f.name for f in (tmp_path / "pdfs").iterdir()] == ["a.pdf"] and not (tmp_path / "d.pdf").exists()
+    assert readers.contained(root, "../d.pdf") is None and readers.contained(root, "/etc/passwd") is None and readers.contained(root, "x/../y.pdf").endswith("/pdfs/y.pdf")
+
+
+def test_robots_and_waiting_in_fetching(spark):
+    class Rules:
+        def can_fetch(self, agent, url):
+            return "private" not in url
+
+        def crawl_delay(self, agent):
+            return None
+
+    urls = spark.createDataFrame([("https://a/private/1",), ("https://a/2",)], "url string")
+    police = lambda: readers.Politeness("ua", 0.0, rules=lambda origin: Rules())
+    got = {r.url: r for r in readers.fetch_pages(urls, lambda u: (200, "text/html", b"x"), police=police).collect()}
+    assert got["https://a/private/1"].error == "robots" and got["https://a/2"].body == b"x"
+
+
+def test_pdf_tools_and_dates(spark, monkeypatch):
+    import subprocess
+
+    def tool(args, **more):
+        assert more["timeout"] == 120 and more["check"]
+        return subprocess.CompletedProcess(args, 0, b"Title: x\nPages:  7\n" if args[0] == "pdfinfo" else b"one\x0ctwo\x0c")
+
+    assert readers.pdf_page_count(b"%PDF", tool) == 7 and readers.pdf_text_pages(b"%PDF", 0, 2, tool) == ["one", "two"]
+    monkeypatch.setenv("TEXT_LAYER_PDFTOTEXT_MB", "2")
+    assert readers.large_bytes() == 2 << 20
+    monkeypatch.setenv("TEXT_LAYER_PDFTOTEXT_MB", "many")
+    assert readers.large_bytes() == 10 << 20
+
+    def read(data, a, z):
+        if data == b"x":
+            raise ValueError("no PDF")
+        return ["", "dated 5 May 2021", "", "dated 6 June 2022"][a:z]
+
+    files = spark.createDataFrame([("a", b"%PDF"), ("b", b"x")], "path string, content binary")
+    assert sorted(map(tuple, readers.pdf_dates(files, read).collect())) == [("a", "2021-05-05"), ("b", None)]
+
+
+def test_trust_store_agent_and_sqlite(spark, tmp_path):
+    import sqlite3
+
+    certs, cache = tmp_path / "certs", str(tmp_path / "cache")
+    certs.mkdir()
+    (certs / "x.pem").write_bytes(b"own")
+    assert readers.trust_store(None, str(certs), cache, lambda: b"roots") is True and readers.trust_store("none.pem", str(certs), cache, lambda: b"roots") is True
+    bundle = readers.trust_store("x.pem", str(certs), cache, lambda: b"roots\n\n")
+    assert open(bundle, "rb").read() == b"roots\nown" and readers.trust_store("x.pem", str(certs), cache, lambda: b"not read again") == bundle
+    assert open(bundle, "rb").read() == b"roots\nown"
+    assert readers.user_agent("a@b.c").endswith("(contact: a@b.c)") and "set CRAWLER_CONTACT" in readers.user_agent("")
+    con = sqlite3.connect(tmp_path / "c.sqlite3")
+    con.execute("create table segments (id text, n int)")
+    con.executemany("insert into segments values (?, ?)", [("a", 1), ("b", None)])
+    con.commit()
+    con.close()
+    got = readers.read_sqlite(spark, f"file://{tmp_path}/c.sqlite3", "select id, n from segments", "id string, n double").collect()
+    assert sorted((r.id, r.n) for r in got)[0] == ("a", 1.0) and len(got) == 2
+
+
+def test_resume_stops_without_progress():
+    from lamplight.streaming.ingest import resume
+
+    def job(gains):
+        state = {"n": 0, "i": 0}
+
+        def run():
+            state["n"] += gains[state["i"]][0]
+            state["i"] += 1
+            if gains[state["i"] - 1][1]:
+                raise RuntimeError("killed")
+
+        return run, lambda: state["n"]
+
+    assert resume(*job([(3, True), (2, False)])) == ("ok", 2, 5)
+    assert resume(*job([(0, True), (0, True)])) == ("stuck", 2, 0)
+    assert resume(*job([(0, True), (4, True), (0, True)])) == ("stuck", 3, 4)
+    assert resume(*job([(1, True)] * 5)) == ("gave-up", 5, 5)
+
+
+def test_versions_survive_a_crash_and_null_partitions_are_dropped(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    sinks.write_version(spark.range(3), path)
+    monkeypatch.setattr(sinks, "_put_over", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError):
+        sinks.write_version(spark.range(5), path)
+    assert sinks.read_version(spark, path).count() == 3
+    monkeypatch.undo()
+    sinks.write_version(spark.range(7), path)
+    assert sinks.read_version(spark, path).count() == 7
+    table, schema = f"file://{tmp_path}/p", "k string, v int"
+    sinks.replace_partitions(spark.createDataFrame([(None, 1), ("a/b=c", 2), ("x", 3)], schema), table, "k")
+    sinks.replace_partitions(spark.createDataFrame([("x", 4)], schema), table, "k", emptied=spark.createDataFrame([(None,), ("a/b=c",), ("x",)], "k string"))
+    assert [tuple(r) for r in spark.read.parquet(table).select("v").collect()] == [(4,)]
+    (tmp_path / "o" / "gone").mkdir(parents=True)
+    assert sinks.delete_orphans(spark, f"file://{tmp_path}/o", spark.createDataFrame([("gone",), ("never",)], "name string")) == 1 and not (tmp_path / "o" / "gone").exists()
+
+
+def test_translation_without_a_model(spark):
+    assert translate.is_available("m:8b", lambda: ["m:latest"]) == (True, "ready") and not translate.is_available("m", lambda: ["n"])[0]
+    away = translate.is_available("m", lambda: 1 / 0)
+    rows = spark.createDataFrame([("some words here",), ("",)], "text string")
+    results, fresh = translate.translate(rows, "m", lambda s: s, available=away)
+    assert {(r.source, r.status) for r in results.collect()} == {("some words here", "unavailable"), ("", "failed")} and fresh.count() == 0
+
+
+def test_windows_of_any_overlap(spark):
+    from lamplight.functions.chunking import windows
+
+    text = "ab 𝒳" * 50 + "  tail "
+    for size, overlap in ((800, 100), (10, 3), (10, 0), (10, 9), (7, 5), (3, 7)):
+        step = max(1, size - overlap)
+        n = len(text)
+        want = [(text[a : a + size].strip(), a, min(a + size, n)) for a in range(0, max(0, -(-max(0, n - size) // step)) * step + 1, step) if text[a : a + size].strip()]
+        got = spark.createDataFrame([(text,)], "t string").select(windows("t", size, overlap).alias("w")).first().w
+        assert [tuple(x) for x in got] == want
