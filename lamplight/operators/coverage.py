@@ -58,10 +58,9 @@ def badge(pct: Column) -> Column:
     return F.when(pct >= 100, "complete").when(pct > 0, "partial").otherwise("none")
 
 
-def report_lines(rows: DataFrame, name: str = "name") -> DataFrame:
-    """line: a coverage report for a console, a line a state."""
-    text = F.format_string("%-20s crawled %6d  processed %6d (%3d%%)  missing %6d", F.col(name), "crawled", "processed", "pct_shown", "missing")
-    return rows.select(name, text.alias("line")).orderBy(name).select("line")
+def report_line(name: str = "name") -> Column:
+    """A row of a coverage report for a console."""
+    return F.format_string("%-20s crawled %6d  processed %6d (%3d%%)  missing %6d", F.col(name), "crawled", "processed", "pct_shown", "missing")
 
 
 def index_sample(chunks: DataFrame, limit: int = 500, key: str = "state") -> DataFrame:

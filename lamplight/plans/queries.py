@@ -175,6 +175,9 @@ _guard = QUERIES["translation_guard"]
 QUERIES["translation_guard"] = lambda spark, d: _guard(spark, d).select("conv_id", "turn", "length_ratio", F.array_join("rs", "; ").alias("reasons"), (F.size("rs") == 0).alias("ok"))
 
 
+_LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+
+
 def _union(patterns: tuple[str, ...]) -> str:
     return "(?i)" + "|".join(patterns).replace("'", "''")
 
@@ -196,10 +199,12 @@ def contamination_scan(spark, d):
     f"""WITH t AS (SELECT doc_id, {_NOISE} AS text FROM documents),
              h AS (SELECT doc_id, text, list_sort(list_distinct(list_transform(regexp_extract_all(text, '{_union(quality.COMMENTARY)}'), lambda x: lower(x)))) AS hits FROM t)
         SELECT doc_id, array_to_string(hits, '; ') AS phrases, length({_strip("text")}) = 0 OR (len(hits) > 0 AND (length({_strip("text")}) < 400 OR len(hits) >= 2)) AS refusal,
-               len(list_filter(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_matches(x, '{_union(quality.COMMENTARY)}'))) AS removed FROM h"""
+               len(list_filter(string_split_regex(text, '{_LINE_ENDS}'), lambda x: regexp_matches(x, '{_union(quality.COMMENTARY)}'))) AS removed,
+               regexp_replace({_strip(f"array_to_string(list_filter(string_split_regex(text, '{_LINE_ENDS}'), lambda x: NOT regexp_matches(x, '{_union(quality.COMMENTARY)}')), chr(10))")}, '\\n{{3,}}', chr(10) || chr(10), 'g') AS rest FROM h"""
 )
 def commentary_scan(spark, d):
-    return _noisy(spark, d).select("doc_id", F.array_join(quality.find_commentary("text"), "; ").alias("phrases"), quality.is_refusal("text").alias("refusal"), quality.strip_commentary("text")["removed"].cast("long").alias("removed"))
+    c = _noisy(spark, d).select("doc_id", quality.commentary("text").alias("c"))
+    return c.select("doc_id", F.array_join("c.phrases", "; ").alias("phrases"), "c.refusal", F.col("c.removed").cast("long").alias("removed"), F.col("c.text").alias("rest"))
 
 
 def _any(x: str, needles: tuple[str, ...]) -> str:
@@ -217,14 +222,16 @@ def category_infer(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT url AS page_url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
-       SELECT page_url, count(*) AS n_links, count(*) FILTER (href <> '' AND NOT regexp_matches(href, '^(#|mailto:|tel:|javascript:)')) AS n_followed, count(*) FILTER (lower(split_part(href, '?', 1)) LIKE '%.pdf') AS n_pdf, string_agg(href, ' ' ORDER BY href) AS hrefs FROM p GROUP BY page_url"""
+    r"""WITH p AS (SELECT url AS page_url, regexp_extract(html, '<title>([^<]*)', 1) AS title, unnest(list_zip(regexp_extract_all(html, '<a href="([^"]*)"', 1), regexp_extract_all(html, '<a href="[^"]*">([^<]*)', 1))) AS a FROM pages),
+            f AS (SELECT page_url, title, a[1] AS href, a[2] AS link_text, regexp_extract(page_url, '^[a-z]+://[^/?#]*', 0) || a[1] AS url FROM p)
+       SELECT page_url, trim(regexp_replace(replace(any_value(title), '&amp;', '&'), '\s+', ' ', 'g')) AS page_title, count(*) AS n_links, count(*) FILTER (href <> '' AND NOT regexp_matches(href, '^(#|mailto:|tel:|javascript:)')) AS n_followed, count(*) FILTER (lower(split_part(href, '?', 1)) LIKE '%.pdf') AS n_pdf, string_agg(href, ' ' ORDER BY href) AS hrefs, string_agg(url || '=' || link_text, ' ' ORDER BY url || '=' || link_text) AS links FROM f GROUP BY page_url"""
 )
 def page_link_facts(spark, d):
     links = web.page_links(table(spark, d, "pages"))
     followed = naming.is_followed_link("href")
     # a page's links, not a table's
-    return links.groupBy("page_url").agg(F.count(F.lit(1)).alias("n_links"), F.count_if(followed).alias("n_followed"), F.count_if(naming.is_pdf_link("href")).alias("n_pdf"), F.array_join(F.array_sort(F.collect_list("href")), " ").alias("hrefs"))
+    every = F.concat("url", F.lit("="), "link_text")
+    return links.groupBy("page_url").agg(F.first("page_title").alias("page_title"), F.array_join(F.array_sort(F.collect_list(every)), " ").alias("links"), F.count(F.lit(1)).alias("n_links"), F.count_if(followed).alias("n_followed"), F.count_if(naming.is_pdf_link("href")).alias("n_pdf"), F.array_join(F.array_sort(F.collect_list("href")), " ").alias("hrefs"))
 
 
 _DMY = "strftime(o_orderdate, '%d/%m/%Y')"
@@ -276,9 +283,12 @@ def anti_unprocessed(spark, d):
     return incremental.not_yet(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels"), ["doc_id"])
 
 
-@query("SELECT d.doc_id, coalesce(l.q, 0) AS quality, coalesce(l.t, -1) AS toxic FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id")
+@query("SELECT d.doc_id, coalesce(l.q, 0) AS quality, coalesce(l.t, -1) AS toxic FROM documents d LEFT JOIN (SELECT doc_id, arg_max(quality, quality * 2 + toxic) AS q, arg_max(toxic, quality * 2 + toxic) AS t FROM (SELECT doc_id, quality, toxic FROM labels UNION ALL SELECT doc_id, 1 - quality, 1 - toxic FROM labels WHERE doc_id % 3 = 0) GROUP BY 1) l ON l.doc_id = d.doc_id")
 def metadata_join(spark, d):
-    labels = table(spark, d, "labels").select("doc_id", "quality", "toxic", (F.col("quality") * 2 + F.col("toxic")).alias("ord"))
+    labels = table(spark, d, "labels").select("doc_id", "quality", "toxic")
+    # some have two labels that differ in both columns: the last is taken whole
+    labels = labels.unionByName(labels.filter("doc_id % 3 = 0").select("doc_id", (1 - F.col("quality")).alias("quality"), (1 - F.col("toxic")).alias("toxic")))
+    labels = labels.withColumn("ord", F.col("quality") * 2 + F.col("toxic"))
     return incremental.with_metadata(table(spark, d, "documents").select("doc_id"), labels, {"quality": 0, "toxic": -1}, "ord", keys=("doc_id",))
 
 
@@ -311,7 +321,21 @@ def cache_lookup(spark, d):
     return c.filter("role = 'user'").join(known, "cache_key", "left").select("conv_id", "turn", F.coalesce("hit", F.lit(False)).alias("cached"))
 
 
-@query()
+def _cut(s: str) -> str:
+    """Where to cut rest: behind the last separator s that begins after its first character and ends within 900, or null."""
+    inner = "substr(rest, 2, 899)"
+    at = f"strpos(reverse({inner}), reverse('{s}'))"
+    return f"CASE WHEN {at} > 0 THEN length({inner}) - {at} + 2 END"
+
+
+@query(
+    f"""WITH RECURSIVE p AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line, unnest(x) AS rest FROM (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda y: {_strip("y")}) AS x FROM documents)),
+             w AS (SELECT doc_id, line, 0 AS step, rest, CAST(NULL AS VARCHAR) AS piece FROM p
+                   UNION ALL
+                   SELECT doc_id, line, step + 1, CASE WHEN length(rest) > 900 THEN {_strip("substr(rest, cut + 1)")} ELSE '' END, CASE WHEN length(rest) > 900 THEN {_strip("substr(rest, 1, cut)")} ELSE rest END
+                   FROM (SELECT *, coalesce({", ".join(_cut(s) for s in chunking.SEPARATORS)}, 900) AS cut FROM w WHERE rest <> ''))
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, step) - 1 AS ord, piece FROM w WHERE piece <> ''"""
+)
 def split_translation(spark, d):
     return documents(spark, d).select("doc_id", F.posexplode(chunking.split_for_translation()(F.col("text"))).alias("ord", "piece"))
 
@@ -369,12 +393,14 @@ def statute_list(spark, d):
     return offences.statutes(_offences(spark, d))
 
 
-@query("SELECT lang AS state_key, doc_id FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')")
+@query("SELECT coalesce(lang, 'none') AS state_key, doc_id, CASE WHEN lang = 'en' THEN n_chars END AS n_chars FROM documents")
 def union_states(spark, d):
+    """A part for each of four languages, of which one has a column more, and one for all other rows."""
     from lamplight.sources.readers import union_states as union
 
-    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("state_key"))
-    return union([docs.filter(F.col("state_key") == k) for k in ("en", "de", "fr", "es")])
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("state_key"), "n_chars")
+    known = ("en", "de", "fr", "es")
+    return union([docs.filter("state_key = 'en'"), *[docs.filter(F.col("state_key") == k).drop("n_chars") for k in known[1:]], docs.filter(~F.col("state_key").isin(*known)).drop("n_chars")])
 
 
 @query("SELECT host, min(page_id) AS page_id FROM (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host FROM pages) WHERE host <> 'www.example.com' GROUP BY host")

@@ -58,7 +58,7 @@ def load_documents(spark: SparkSession, states: list[tuple[int, str, str, str]],
 
 
 def pdf_listing(spark: SparkSession, path: str, any_case: bool = False) -> DataFrame:
-    """path, filename, length of PDF files under a folder; contents are not read."""
+    """path, filename, length of PDF files under a folder; contents are not read. Files without a byte are none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     rows = (files if any_case else files.option("pathGlobFilter", "*.pdf")).load(path).select("path", "length")
     named = rows.withColumn("filename", F.element_at(F.split("path", "/"), -1))

@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+from lamplight.plans import cases  # noqa: F401
 from lamplight.plans.queries import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
