@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .hamming import hamming_top_k
@@ -38,6 +39,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: the base matches."""
+    return op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +52,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), quality_weights(_table(spark, sf_dir, "labels")))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6: sizes and targets; and that no document is taken more than three times."""
+    rows = op6_mix_sources(spark, sf_dir)
+    return rows.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.col("taken") <= 3 * F.col("size")).alias("bounded"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -80,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hamming_top_k": op8_hamming_top_k,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_files": op10_token_files,
+    "secret_counts": secret_counts,
+    "mix_targets": mix_targets,
 }
 
 SQL: dict[str, str] = {
@@ -107,6 +121,21 @@ SQL: dict[str, str] = {
                CASE WHEN p.page_id <> g.first THEN g.first END AS refers_to
         FROM p JOIN g ON p.h = g.h
     """,
+    "secret_counts": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+        SELECT doc_id, len(list_filter(regexp_extract_all(t, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS n_assign,
+               len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex
+        FROM d
+    """,
+    "mix_targets": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+             s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS pos FROM d GROUP BY source),
+             w AS (SELECT *, CAST([1, 2, 3][(pos - 1) % 3 + 1] AS DOUBLE) AS w, 3.0 * source_size AS cap FROM s),
+             o AS (SELECT *, row_number() OVER (ORDER BY cap / w, pos) AS k, sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room, sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weights FROM w),
+             f AS (SELECT k, room / weights AS share FROM o WHERE room / weights * w <= cap ORDER BY k LIMIT 1),
+             t AS (SELECT o.source, source_size, CASE WHEN f.k IS NULL OR o.k < f.k THEN cap ELSE least(f.share * w, cap) END AS target FROM o LEFT JOIN f ON true)
+        SELECT doc_id, size, source_size, round(target, 4) AS target, true AS bounded FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+    """,
     "op8_hamming_top_k": """
         WITH d AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id,
                           CAST(list_sum(list_transform(generate_series(1, 64), lambda i: CASE WHEN (q.embedding[i] > 0) <> (c.embedding[i] > 0) THEN 1 ELSE 0 END)) AS BIGINT) AS distance

@@ -13,6 +13,8 @@ import struct
 from collections.abc import Callable, Iterable
 
 TABLE_CHUNKS = 100_000
+#: Parts of words, which are shorter than chunks.
+PART_CHUNKS = 250_000
 
 
 class ChunkTable:
@@ -65,6 +67,8 @@ class PieceEncoder:
 
     def supports(self) -> bool:
         pieces = [self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size())]
+        if sum(self.lib.is_byte(i) for i in range(len(pieces))) < 256:  # what no piece covers would be an unknown piece
+            return False
         whole = not any("\n" in p or re.search(f"[^{self.MARK}]{self.MARK}", p) for p in pieces)
         probe = "Å  é  x \n\t ﬁ"  # changes under any normaliser but the identity
         return whole and self.lib.decode(self.lib.encode(probe)) == probe and self.lib.encode(" ")[:1] != self.lib.encode("")[:1]
@@ -117,7 +121,7 @@ class WordEncoder:
             spec = json.load(f)
         self.by_word = PieceOfSpec.drops_space(spec)
         self.direct = self.by_word and PieceOfSpec.splits_by(spec, self.PATTERN)
-        self.chunks, self.parts = ChunkTable(self._encode), ChunkTable(self._encode_parts)
+        self.chunks, self.parts = ChunkTable(self._encode), ChunkTable(self._encode_parts, PART_CHUNKS)
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
         tokenize, letters = self.lib.model.tokenize, _BYTE_LETTERS.__getitem__

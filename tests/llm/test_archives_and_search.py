@@ -128,3 +128,17 @@ def test_pipeline_and_queries(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
+
+
+def test_pipeline_on_edges(spark, edges):
+    """Nulls, empty and long texts, repeated rows and columns whose names clash go through all stages; nothing crashes."""
+    import corpus_pipeline
+
+    at = edges.unionByName(edges)
+    for name, stage in corpus_pipeline.STAGES:
+        before, at = at, stage(spark, at, SF)
+        if name == "exact_dedup":
+            assert at.columns == edges.columns and at.count() == before.select(F.coalesce("text", F.lit(""))).distinct().count()
+        if name == "simhash_near_dedup":  # the long text and its copy with another end are one; so are the texts without a word
+            assert at.count() == before.count() - 2
+    assert at.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and at.count() > 0

@@ -369,3 +369,49 @@ def test_mix(spark, edges, no_docs):
     assert mixed.columns == docs.columns
     assert Counter(m.doc_id for m in mixed.collect()) == Counter({g.doc_id: g.copies for g in mixing.mix_sources(docs, weights).collect() if g.copies})
     assert len(mixing.mix_sources(edges, weights).collect()) == len(EDGES) and mixing.mix_sources(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
+
+
+def test_mix_takes_what_the_keys_say(spark):
+    """The documents taken, source by source, read off the sorted keys."""
+    r = np.random.default_rng(8)
+    rows = [(i, "w " * int(r.integers(1, 80)), "ab"[int(r.integers(0, 4)) == 0]) for i in range(700)]
+    docs = doc_rows(spark, rows)
+    weights = mixing.quality_weights(spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(0, 700, 2)], "doc_id long, quality int, toxic int"))
+    got = {g.doc_id: g for g in mixing.mix_sources(docs, weights, bin_rows=50).collect()}
+    u = docs.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), "doc_id"), 11).alias("u"))
+    quality = {i: 1.0 if i % 2 else 2.0 if i % 3 == 0 else 0.5 for i, _, _ in rows}
+    key = {x.doc_id: -np.log((x.u + 0.5) * 2.0**-53) / quality[x.doc_id] for x in u.collect()}
+    for s in "ab":
+        mine = sorted((key[i], i, len(t.split())) for i, t, of in rows if of == s)
+        total, target = sum(n for *_, n in mine), got[mine[0][1]].target
+        epochs = int(target / total + 1e-9)
+        left, bins = max(0.0, target - epochs * total), -(-len(mine) // 50)
+        taken, ended = set(), False
+        binned = defaultdict(list)
+        for k, i, n in mine:
+            binned[min(int((1 - np.exp(-k * 0.5)) * bins), bins - 1)].append((i, n))
+        for b in sorted(binned):
+            size = sum(n for _, n in binned[b])
+            if ended:
+                break
+            if size <= left:
+                taken |= {i for i, _ in binned[b]}
+                left -= size
+                continue
+            ended, best = True, None
+            for i, n in binned[b] if left > 0 else []:
+                if n <= left:
+                    taken.add(i)
+                    left -= n
+                elif best is None or n < best[1]:
+                    best = (i, n)
+            if best and best[1] - left < left:
+                taken.add(best[0])
+        assert {i for _, i, _ in mine if got[i].copies == epochs + 1} == taken and all(got[i].copies in (epochs, epochs + 1) for _, i, _ in mine)
+
+
+def test_ties_of_scores_are_predicted_alike(spark):
+    docs, labels = toxic_table(spark)
+    twice = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000))
+    got = toxicity.toxicity(twice, labels).groupBy(F.col("doc_id") % 1000).agg(F.count_distinct("score", "predicted").alias("n"), F.count(F.lit(1)).alias("rows"))
+    assert {(x.n, x.rows) for x in got.collect()} == {(1, 2)}
