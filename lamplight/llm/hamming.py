@@ -151,7 +151,8 @@ def top_codes(codes: DataFrame, queries: DataFrame, k: int, shard_codes: int = S
     near = Window.partitionBy("q").orderBy("d", "least")
     for first, last in ROUNDS:
         sent = best.filter(F.col("code").isNull()).select("q", F.coalesce("kth", F.lit(BITS)).alias("bound"), F.posexplode(F.array(*[segment(F.col("q"), s) for s in range(SEGMENTS)])).alias("s", "value"))
-        sent = sent.join(F.broadcast(sizes), "s").filter(F.bit_count(F.shiftright("value", rest).bitwiseXOR(F.col("part"))) <= last)
+        near_parts = F.array(*[F.lit(m) for m in range(1 << first_bits) if m.bit_count() <= last])
+        sent = sent.select("q", "bound", "s", F.shiftright("value", rest).alias("own"), F.explode(near_parts).alias("m")).withColumn("part", F.col("own").bitwiseXOR(F.col("m"))).join(F.broadcast(sizes), ["s", "part"])
         sent = sent.select("s", "part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("is_query"), F.col("q").alias("code"), F.lit(0).cast("long").alias("least"), F.col("bound").cast("int").alias("n"))
         keys = ["s", "part", "salt"]
         found = in_arrow(index.unionByName(sent).repartition(*keys).sortWithinPartitions(*keys, "is_query"), _search(first, last, k), "q long, code long, least long, n int, d int")
