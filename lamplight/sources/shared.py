@@ -19,8 +19,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: What this process has put into the shared folder.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what this process has put into the shared folder; for when all results that were read from it are stored."""
+    n = 0
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

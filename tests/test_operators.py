@@ -361,3 +361,22 @@ def test_windows_of_any_overlap(spark):
         want = [(text[a : a + size].strip(), a, min(a + size, n)) for a in range(0, max(0, -(-max(0, n - size) // step)) * step + 1, step) if text[a : a + size].strip()]
         got = spark.createDataFrame([(text,)], "t string").select(windows("t", size, overlap).alias("w")).first().w
         assert [tuple(x) for x in got] == want
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from lamplight.sources import shared
+
+    shared.clear(spark)
+    kept = shared.stored(spark.range(3), "numbers")
+    assert kept.count() == 3 and shared.clear(spark) == 1 and shared.clear(spark) == 0
+
+
+def test_only_a_local_master_may_lack_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lamplight.sources import shared
+
+    conf = SimpleNamespace(get=lambda *a: None, set=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://h:7077"))
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(cluster)
