@@ -2,7 +2,8 @@
 
 Each task cuts texts at the boundaries that no piece crosses, segments each distinct chunk of its table once, and
 joins ids and decoded bytes back by position: the ids are those of the library for the whole text, begin and end ids
-included. There is no shuffle; a task holds one text, its chunks and two bounded tables.
+included. There is no shuffle; a task holds one text, its chunks and two bounded tables (token_tables says what one table
+for the corpus would cost).
 
 Defined results: a null text counts as empty and gets the begin and end ids only; rows that repeat, ties and null
 doc_ids each keep a row; an empty table gives an empty result; only doc_id and text are read.

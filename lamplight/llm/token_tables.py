@@ -2,8 +2,10 @@
 
 A chunk table maps a chunk to its ids as little-endian unsigned 32-bit integers. It lives in a task, in two
 generations of TABLE_CHUNKS chunks: a full one becomes the old one, from which chunks in use come back. So its memory
-is bounded and no chunk is ever shuffled: a table for the whole corpus would move every word of it through the network
-to save encoding the words that two tasks share.
+is bounded and no chunk is ever shuffled. One table for the whole corpus was measured on 16,000 documents (32 MB of Parquet,
+9.7 million chunks, 628,000 distinct): what has to move are the distinct chunks of each batch (27 MB at 8 MB a batch), the same
+again with their ids, and 25 MB of chunk numbers in compressed form, written and then shuffled to their dictionaries: 2.5
+to 3 times the input, while encoding the distinct chunks takes about a quarter of the time of a task (4 of 15 s).
 """
 
 from __future__ import annotations

@@ -47,17 +47,42 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def distinct_words(text: str) -> list[str]:
     words = dict.fromkeys(_WORD.findall(text.lower()))
-    if all(len(w) <= LONG_WORD for w in words):
+    if max(map(len, words), default=0) <= LONG_WORD:
         return list(words)
     return list(dict.fromkeys(p for w in words for p in ([w] if len(w) <= LONG_WORD else (w[i : i + PIECE] for i in range(0, len(w) - PIECE + STEP, STEP)))))
 
 
-def features(word: str) -> list[int]:
-    """Hashed features: the word, its beginnings of three to seven characters, its runs of five, its end marked."""
-    w = f"<{word}>"
-    runs = {w[:n] for n in range(4, min(9, len(w)))} | {w[i : i + 5] for i in range(1, len(w) - 4)}
-    keep = (1 << FEATURE_BITS) - 1
-    return [xxhash.xxh32_intdigest("=" + word) & keep, *(xxhash.xxh32_intdigest(r) & keep for r in sorted(runs))]
+_BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+LEAST_START, MOST_START, RUN = 4, 8, 5
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, word number) pairs: each word, its beginnings of three to seven characters, its runs of five, its ends marked.
+
+    A feature is the hash of a string; the hashes of all words' strings of a length are worked out at once.
+    """
+    marked = [f"<{w}>" for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    start = np.cumsum(size) - size
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    number = np.arange(len(marked), dtype=np.int32)
+    found = [np.fromiter((xxhash.xxh32_intdigest("=" + w) for w in words), np.uint64, len(words)) << np.uint64(32)]
+    of = [number]
+    h = code
+    for n in range(2, MOST_START + 1):
+        h = h[:-1] * _BASE + code[n - 1 :]
+        if n >= LEAST_START:
+            some = size > n
+            found.append(h[start[some]] * _MIX)
+            of.append(number[some])
+        if n == RUN:
+            runs = np.maximum(size - RUN, 0)
+            at = np.repeat(start + 1 - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+            found.append(h[at] * _MIX)
+            of.append(np.repeat(number, runs))
+        if len(h) < 2:
+            break
+    return (np.concatenate(found) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32), np.concatenate(of)
 
 
 class Examples:
@@ -71,17 +96,12 @@ class Examples:
             words = d.split()
             counts.append(len(words))
             flat.extend(numbers.setdefault(w, len(numbers)) for w in words)
-        hashed, per_word = array("i"), array("i")
-        for w in numbers:
-            fs = features(w)
-            per_word.append(len(fs))
-            hashed.extend(fs)
+        self.features, self.of_word = features(list(numbers)) if numbers else (np.empty(0, np.int32), np.empty(0, np.int32))
+        self.per_word = np.bincount(self.of_word, minlength=len(numbers))
         del numbers
         self.words, self.counts = np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32), np.array(counts, np.int64)
-        self.features, self.per_word = np.frombuffer(hashed, np.int32) if hashed else np.empty(0, np.int32), np.array(per_word, np.int64)
         self.scale = 1 / np.sqrt(self.per_word)
         self.of_doc = np.repeat(np.arange(len(docs), dtype=np.int32), self.counts)
-        self.of_word = np.repeat(np.arange(len(self.per_word), dtype=np.int32), self.per_word)
 
     def word_weights(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.of_word, weights=weights[self.features], minlength=len(self.per_word)) * self.scale
@@ -178,10 +198,9 @@ class ToxicityModel:
         """The positive part of each word's weight."""
         if not words:
             return []
-        fs = [features(w) for w in words]
-        n = np.array([len(x) for x in fs])
-        total = np.bincount(np.repeat(np.arange(len(fs)), n), weights=self.weights[np.array([i for x in fs for i in x])], minlength=len(fs))
-        return positive_part(total / np.sqrt(n)).tolist()
+        hashed, of = features(words)
+        total = np.bincount(of, weights=self.weights[hashed], minlength=len(words))
+        return positive_part(total / np.sqrt(np.bincount(of, minlength=len(words)))).tolist()
 
     def score(self, total: float) -> float:
         return float(sigmoid(np.float64(self.slope * (self.bias + total - self.threshold) + math.log(CUTOFF / (1 - CUTOFF)))))
