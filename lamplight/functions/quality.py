@@ -55,9 +55,10 @@ LEAST_SAMPLE, LEAST_LETTERS, LEAST_VOWELS = 100, 50, 0.22
 
 
 def _alternatives(patterns: tuple[str, ...]) -> str:
-    """One regex; all patterns begin with a letter at a word's edge, so that edge is looked at once for all of them."""
+    """One regex; all patterns begin with a letter at a word's edge, so edge and letter are looked at once for all of them."""
     bare = [p.removeprefix(r"\b") for p in patterns]
-    return f"(?iu)(?<!{WORD})(?:" + "|".join(word_bounded(p) for p in bare) + ")"
+    first = {x[0] for p in bare for x in (p[3 : p.index(")")].split("|") if p.startswith("(?:") else [p])}
+    return f"(?iu)(?<!{WORD})(?=[{''.join(sorted(first))}])(?:" + "|".join(word_bounded(p) for p in bare) + ")"
 
 
 def phrases(text: Column | str, patterns: tuple[str, ...]) -> Column:
