@@ -210,6 +210,21 @@ def needs_ocr(sample: Column | str, indic: tuple[str, ...] = (DEVANAGARI, ODIA))
     return let(strip(text_or_empty(sample)), judge)
 
 
+def layer_facts(text: Column | str, indic: tuple[str, ...] = (DEVANAGARI, ODIA)) -> Column:
+    """struct<legacy_font, readable_latin, needs_ocr> of a text layer, each part looked at once: white space at the ends
+    counts for its length only."""
+    t = text_or_empty(text)
+
+    def judge(f: Column) -> Column:
+        unicode = F.lit(False)
+        for script in indic:
+            unicode = unicode | t.rlike(script)
+        scan = F.when(F.length(strip(t)) < LEAST_SAMPLE, True).when(unicode, False).when(f["legacy"], True).otherwise(~f["latin"])
+        return F.struct(f["legacy"].alias("legacy_font"), f["latin"].alias("readable_latin"), scan.alias("needs_ocr"))
+
+    return let(F.struct(looks_like_legacy_font(t).alias("legacy"), looks_like_readable_latin(t).alias("latin")), judge)
+
+
 def infer_title(text: Column | str, fallback: Column | str) -> Column:
     """The first line of 6 to 200 characters that holds a word and is no legacy font, cut to 150; else the fallback."""
     stripped = F.transform(F.split(text_or_empty(text), "\n"), lambda x: strip(x))

@@ -136,7 +136,7 @@ _VOWELS = "length(regexp_replace(text, '[^AEIOUaeiou]', '', 'g'))"
         SELECT doc_id, legacy_font, readable_latin, CASE WHEN n < 100 THEN true WHEN indic THEN false WHEN legacy_font THEN true ELSE NOT readable_latin END AS needs_ocr FROM f"""
 )
 def ocr_gate(spark, d):
-    return documents(spark, d).select("doc_id", quality.looks_like_legacy_font("text").alias("legacy_font"), quality.looks_like_readable_latin("text").alias("readable_latin"), quality.needs_ocr("text").alias("needs_ocr"))
+    return documents(spark, d).select("doc_id", quality.layer_facts("text").alias("f")).select("doc_id", "f.*")
 
 
 @query(

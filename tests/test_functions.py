@@ -143,3 +143,10 @@ def test_pdf_responses(spark):
 def test_title(spark):
     texts = ["abc\n  A fine title  \nmore", "x", None, "1" * 160, GARBLE[:60] + "\nReal title"]
     assert ask(spark, texts, lambda c: quality.infer_title(c, F.lit("fb"))) == ["A fine title", "fb", "fb", "1" * 150, "Real title"]
+
+
+def test_layer_facts_agree_with_their_parts(spark):
+    texts = [None, "", "  short ", "a readable line of text that goes on for long enough to be read " * 3, "bcdfg hjklm " * 20, "kklu NRR " * 20, "बाल कल्याण समिति " * 10, " " * 200, "NRR kklu " + "समिति " * 30]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(quality.layer_facts("t").alias("f"), quality.looks_like_legacy_font("t").alias("a"), quality.looks_like_readable_latin("t").alias("b"), quality.needs_ocr("t").alias("c")).collect()
+    assert all(tuple(r.f) == (r.a, r.b, r.c) for r in rows) and len({tuple(r.f) for r in rows}) >= 4
