@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .mph import MinimalPerfectHash, words
-from .work import drop_rows, in_arrow, text_digest, written
+from .work import drop_rows, in_arrow, small, text_digest, written
 
 SHARD_DIGESTS = 65_536
 INDEX = "shard long, hash binary, digests binary, winners array<long>, counts array<long>"
@@ -134,6 +134,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs, of equal texts only the row with the largest doc_id, all columns."""
     rows = written(digest_table(docs), "digests")
-    g = groups(rows).filter("group_size > 1").select(F.col("digest").alias("d"), "keep_id")
-    copies = rows.join(g, rows["digest"] == g["d"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    return drop_rows(docs, written(copies.select("doc_id", "digest").distinct(), "gone"), rows)
+    g = written(groups(rows).filter("group_size > 1").select(F.col("digest").alias("d"), "keep_id"), "groups")
+    copies = rows.join(small(g), rows["digest"] == g["d"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    # the digest as an expression: the removal of repeats then has a shuffle of its own, after pre-aggregation, and Spark may
+    # split the join of a text that very many rows have
+    gone = copies.select("doc_id", F.unhex(F.hex("digest")).alias("digest")).distinct()
+    return drop_rows(docs, written(gone, "gone"), rows)
