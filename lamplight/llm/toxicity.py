@@ -54,6 +54,7 @@ def distinct_words(text: str) -> list[str]:
 
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 LEAST_START, MOST_START, RUN = 4, 8, 5
+WORD_BLOCK = 1 << 15
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,12 +94,16 @@ class Examples:
         numbers: dict[str, int] = {}
         flat, counts = array("i"), array("i")
         for d in docs:
-            words = d.split()
-            counts.append(len(words))
-            flat.extend(numbers.setdefault(w, len(numbers)) for w in words)
-        self.features, self.of_word = features(list(numbers)) if numbers else (np.empty(0, np.int32), np.empty(0, np.int32))
-        self.per_word = np.bincount(self.of_word, minlength=len(numbers))
+            own = d.split()
+            counts.append(len(own))
+            flat.extend(numbers.setdefault(w, len(numbers)) for w in own)
+        words, n = list(numbers), len(numbers)
         del numbers
+        blocks = [features(words[i : i + WORD_BLOCK]) for i in range(0, n, WORD_BLOCK)]
+        self.features = np.concatenate([f for f, _ in blocks] or [np.empty(0, np.int32)])
+        self.of_word = np.concatenate([o + np.int32(i * WORD_BLOCK) for i, (_, o) in enumerate(blocks)] or [np.empty(0, np.int32)])
+        self.per_word = np.bincount(self.of_word, minlength=n)
+        del blocks, words
         self.words, self.counts = np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32), np.array(counts, np.int64)
         self.scale = 1 / np.sqrt(self.per_word)
         self.of_doc = np.repeat(np.arange(len(docs), dtype=np.int32), self.counts)
