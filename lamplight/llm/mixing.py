@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .work import copied_rows, in_arrow, small, text_digest, whole_text, written
 
 MAX_EPOCHS = 3
-BIN_ROWS = 4096
+BIN_ROWS = 1024
 SEED = 20_240_607
 WEIGHTS = (1, 2, 3)
 
