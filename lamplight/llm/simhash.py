@@ -188,10 +188,16 @@ def links(prints: DataFrame, radius: int = RADIUS, heavy: int = HEAVY) -> DataFr
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root): root is the smallest node of the component; for every node that has an edge.
 
-    Alternating large-star and small-star contractions over written tables, until a round changes nothing.
+    Alternating large-star and small-star contractions over written tables, until a round changes nothing. The least
+    neighbours are aggregated before the shuffle; in the joins a node of very many edges meets one row, so Spark's adaptive
+    execution can split them.
     """
     e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    state = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = state(e)
     for _ in range(rounds):
+        if not before[0]:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -199,9 +205,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         pairs = large.join(low, "a")
         small = pairs.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").filter("a <> b").distinct()
         new = written(small, "edges")
-        state = [d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for d in (e, new)]
-        e = new
-        if state[0] == state[1]:
+        e, last, before = new, before, state(new)
+        if last == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     raise RuntimeError(f"the components did not settle in {rounds} rounds")
 

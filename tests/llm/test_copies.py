@@ -236,3 +236,20 @@ def test_bins_of_a_component_are_compared_with_each_other(spark):
 def test_fingerprints_over_many_blocks():
     text = " ".join(f"w{i % 977}x{i % 1013}" for i in range(simhash.BLOCK + 900))
     assert simhash.fingerprint(text.encode()) == fingerprint(text)
+
+
+def test_large_lists_give_the_same_rows(spark, edges, monkeypatch):
+    """Joins by shuffles in place of broadcasts, and the choice among rows that repeat doc_id and text."""
+    from lamplight.llm import mixing, work
+
+    twice = edges.unionByName(edges.withColumn("source", F.lit("another")))
+    df = doc_rows(spark, near_rows())
+
+    def results():
+        order = lambda d: sorted(map(str, d.collect()))
+        return [order(exact_dedup.drop_exact_copies(twice)), order(near_copies.drop_similar(twice)), order(near_copies.drop_similar(df)), order(mixing.mixed_documents(twice))]
+
+    first = results()
+    monkeypatch.setattr(work, "SMALL_ROWS", 0)
+    assert results() == first
+    assert exact_dedup.drop_exact_copies(twice.repartition(5)).select("source").groupBy().agg(F.sum(F.hash("source"))).first() == exact_dedup.drop_exact_copies(twice).select("source").groupBy().agg(F.sum(F.hash("source"))).first()
