@@ -365,18 +365,17 @@ def _scan(page: Page, levels: list[float], bodies: list[int], weights: Weights)
 
 def _edges(page: Page, levels: list[float], bodies: list[int], a: int, z: int) -> tuple[int, int]:
     """The region [a, z) moved to where its article ends."""
-    inside: Counter = Counter()
+    inside = [0] * len(page.names)
     shown = [(i, e, _words(text)) for i, (tag, text, e) in enumerate(page.events) if not tag and levels[e] == 0]
     core = [(i, e, n) for i, e, n in shown if a <= i < z and n]
     if not core:
         return a, z
     for _, e, n in core:
-        b = bodies[e]
-        while b:
-            inside[b] += n
-            b = bodies[page.parents[b]]
+        inside[e] += n
+    for e in range(len(inside) - 1, 0, -1):
+        inside[page.parents[e]] += inside[e]
     marked = sum(n for _, e, n in core if bodies[e])
-    most = [b for b, n in inside.items() if 2 * n > marked]
+    most = [e for e, n in enumerate(inside) if bodies[e] == e and e and 2 * n > marked]
     if most and 4 * marked >= sum(n for *_, n in core):
         b = max(most)  # elements are numbered from the outside in
         return page.first[b], page.last[b]
