@@ -3,8 +3,9 @@
 STAGES lists (name, function); each takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and
 read again as the docs of the next. All but the last return the columns of documents. A document that a stage rejects
 is gone for those after it; the mix may repeat a document. Near copies are those of five-word similarity 0.8 or more
-(lamplight.llm.near_copies); op5's fingerprints miss nearly all of them. No stage is sampled or capped; training reads samples of the
-sizes named in lamplight.llm.toxicity.
+(lamplight.llm.near_copies): op5's SimHash components and, as two bits miss nearly all such pairs, MinHash bands give the
+candidates, whole shingle sets decide. No stage is sampled or capped; training reads samples of the sizes named in
+lamplight.llm.toxicity.
 """
 
 from __future__ import annotations

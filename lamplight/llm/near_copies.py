@@ -1,12 +1,15 @@
-"""Near copies by the similarity of whole word-shingle sets: candidates by banded MinHash, checked exactly.
+"""Near copies by the similarity of whole word-shingle sets: candidates by SimHash and banded MinHash, checked exactly.
 
 A text's set holds the XXH64 values (seed 42) of its shingles of WORDS words; A-Z are lower-cased, ASCII white space
-separates. Two texts link if the Jaccard similarity of their sets is 4/5 or more, tested in integers. Candidates agree
-on all ROWS values of one of BANDS bands of minima: of pairs at exactly 4/5 all but (1 - 0.8^ROWS)^BANDS = 7 in 100,000 are
-expected to meet, of more similar ones all but fewer. Only this step can lose a link.
-
-A bucket (band, values) emits one edge from each member to its smallest, never all pairs; components of these edges hold
-every candidate pair. A component is dealt by a hash to bins of about BIN_SHINGLES shingles; most components have one bin.
+separates. Two texts link if the Jaccard similarity of their sets is 4/5 or more, tested in integers. Candidates are of
+two kinds. Texts of one SimHash component (lamplight.llm.simhash, whole: fingerprints of three-word shingles, covering
+masks, links within two bits, contraction) are candidates without loss; but most texts at 4/5 are more bits apart. So are
+texts that agree on all ROWS values of one of BANDS bands of minima: of pairs at exactly 4/5 all but (1 - 0.8^ROWS)^BANDS
+= 7 in 100,000 are expected to, of more similar ones all but fewer. Only pairs that neither kind holds are lost. A
+fingerprint alone drops nothing: a passage repeated often decides it, whatever else stands in the text.
+
+A bucket (band, values) emits one edge from each member to its smallest, never all pairs, and so does a SimHash component;
+components of these edges hold every candidate pair. A component is dealt by a hash to bins of about BIN_SHINGLES shingles; most components have one bin.
 Each bin is searched breadth first: a text is compared with those that no text has reached so far and whose sizes allow
 the similarity, so a large group of near copies takes few scans. Then bin after bin of a component that still has more
 than one group meets the later ones, two bins in a task at a time, and only texts of groups that are not joined yet are
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .simhash import SEED, components
+from .simhash import SEED, classes, components, fingerprint
 from .work import drop_rows, in_arrow, small, text_digest, whole_text, written
 
 WORDS = 5
@@ -146,10 +149,12 @@ def joined_groups(pivots: list[np.ndarray], of_pivots: list[int], others: list[n
     return out
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys = [bands(shingle_set(t.as_py())) for t in b.column(2).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
+        texts = b.column(2).cast(pa.binary())
+        keys = [bands(shingle_set(t.as_py())) for t in texts]
+        prints = np.fromiter((fingerprint(t.as_py()) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(prints)], names=["doc_id", "digest", "bands", "fp"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,14 +235,17 @@ def exact_groups(sets: DataFrame, bin_shingles: int = BIN_SHINGLES) -> DataFrame
 def near_copies(docs: DataFrame, bin_shingles: int = BIN_SHINGLES) -> DataFrame:
     """(doc_id, digest) of the rows of docs that go: all copies and near copies but the first of each component."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), whole_text().alias("text"))
-    keyed = in_arrow(rows, _band_rows, "doc_id long, digest binary, bands array<long>")
+    keyed = in_arrow(rows, _key_rows, "doc_id long, digest binary, bands array<long>, fp long")
     place = lambda: F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "digest")
     # texts of one node number would only share a component of candidates
-    nodes = keyed.groupBy("digest").agg(F.min(place()).alias("least"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"))
-    nodes = written(nodes.select("digest", F.col("least.id").alias("doc_id"), "rows", F.xxhash64("digest").alias("node"), "bands"), "bands")
+    nodes = keyed.groupBy("digest").agg(F.min(place()).alias("least"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    nodes = written(nodes.select("digest", F.col("least.id").alias("doc_id"), "rows", F.xxhash64("digest").alias("node"), "bands", "fp"), "bands")
     members = nodes.select("node", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").select("key", "least")
-    stars = components(members.join(shared, "key").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    banded = members.join(shared, "key").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    of_print = classes(nodes.select(F.col("node").alias("doc_id"), "fp")).withColumnRenamed("fp", "c")
+    printed = nodes.join(of_print.hint("merge"), nodes["fp"] == of_print["c"]).filter("node <> component_id").select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+    stars = components(banded.unionByName(printed))
     stars = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())  # a root is no node of its own star
     wanted = written(nodes.select("doc_id", "digest", "node").join(stars, "node"), "candidates")
     of = small(wanted.select(F.col("doc_id").alias("of"), F.col("digest").alias("of_digest"), "root", "node"))

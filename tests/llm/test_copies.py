@@ -193,6 +193,27 @@ def test_pipeline_drops_copies_of_similarity_four_fifths(spark, edges, no_docs):
     assert near_copies.drop_similar(no_docs).count() == 0 and near_copies.drop_similar(edges).filter(F.col("text") == "same text here now ok").count() == 1
 
 
+def test_pipeline_takes_simhash_components_as_candidates(spark):
+    """Pairs at similarity 4/5 and within two bits that no band holds; a fingerprint alone drops nothing."""
+    import corpus_pipeline
+
+    rows = []
+    for n in (4181, 16099, 43982):
+        text = " ".join([f"w{n}x{i}" for i in range(8)] * 21)
+        rows += [(n, text, "s"), (n + 1, f"{text} y{n} z{n}", "s")]
+        a, b = (near_copies.shingle_set(t.encode()) for _, t, _ in rows[-2:])
+        assert not set(near_copies.bands(a)) & set(near_copies.bands(b)) and 5 * len(np.intersect1d(a, b)) == 4 * len(np.union1d(a, b))
+        assert (fingerprint(rows[-2][1]) ^ fingerprint(rows[-1][1])).bit_count() <= 2
+    line = "one two three " * 400
+    rows += [(i, line + " ".join(f"v{i}x{j}" for j in range(20)), "s") for i in (1, 2)]
+    assert (fingerprint(rows[-2][1]) ^ fingerprint(rows[-1][1])).bit_count() <= 2
+    df = doc_rows(spark, rows)
+    want = similar_components(rows)
+    assert want == {1, 2, 4181, 16099, 43982}
+    out = corpus_pipeline.near_dedup_stage(spark, df, "")
+    assert out.columns == df.columns and sorted(x.doc_id for x in out.collect()) == sorted(want)
+
+
 def test_similar_groups_equal_all_pairs():
     r = np.random.default_rng(8)
     base = r.integers(0, 2**62, 50, dtype=np.uint64)
