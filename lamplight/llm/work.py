@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamplight.sources.shared import new_path, stored
+from lamplight.sources.shared import new_path, small_batches, stored
 
 
 __all__ = ["copied_rows", "drop_rows", "in_arrow", "new_path", "small", "text_digest", "whole_text", "written"]
@@ -17,17 +17,9 @@ __all__ = ["copied_rows", "drop_rows", "in_arrow", "new_path", "small", "text_di
 written = stored
 
 
-#: Bytes of an Arrow batch; Spark's own default lets a task hold 64 MB of texts in the JVM and as much in Python.
-BATCH_BYTES = 8 << 20
-SPARK_BATCH = "67108864b"
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """df.mapInArrow in batches of about BATCH_BYTES, or of what the session sets: where it sets none, this does."""
-    spark = df.sparkSession
-    if spark.conf.get(_BATCH_SETTING) == SPARK_BATCH:
-        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    """df.mapInArrow in small batches."""
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

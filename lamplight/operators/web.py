@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lamplight.functions.dates import extract_date
 from lamplight.functions.naming import category, is_followed_link, is_pdf_link
 from lamplight.functions.strings import SPACE, or_default, strip_chars, text_or_empty
-from lamplight.sources.shared import stored
+from lamplight.sources.shared import in_pandas, stored
 
 from .incremental import numbered
 
@@ -150,7 +150,7 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    return pages.select(F.col(url).alias("u"), F.col(html).alias("h")).mapInPandas(run, LINKS)
+    return in_pandas(pages.select(F.col(url).alias("u"), F.col(html).alias("h")), run, LINKS)
 
 
 def followed(links: DataFrame) -> DataFrame:

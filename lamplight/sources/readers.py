@@ -18,6 +18,7 @@ from lamplight.functions.dates import date_epoch, extract_date
 from lamplight.functions.naming import is_pdf_response, posix_path
 from lamplight.functions.quality import needs_ocr
 from lamplight.functions.strings import or_default
+from lamplight.sources.shared import in_pandas, small_batches
 
 METADATA = "filename string, file_path string, pdf_url string, source_page string, state string, state_key string, category string, link_text string, document_date string, crawled_at string, subject string, order_no string, table_date string, source_org string, medium string, size_reported string"
 PROCESSED = "id string, filename string, inferred_title string, file_path string, pdf_url string, source_page string, state string, state_key string, category string, link_text string, document_date string, char_count int, was_ocr_used boolean, text string, subject string, order_no string, source_org string, medium string"
@@ -105,7 +106,7 @@ def fetch_pages(urls: DataFrame, get: Callable[[str], tuple[int, str, bytes]], h
             if rows:
                 yield pd.DataFrame(rows, columns=["url", "status", "content_type", "body", "error"])
 
-    return _by_host(urls.select("url"), hosts).select("url").mapInPandas(run, "url string, status int, content_type string, body binary, error string")
+    return in_pandas(_by_host(urls.select("url"), hosts).select("url"), run, "url string, status int, content_type string, body binary, error string")
 
 
 def page_answers(fetched: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def download(files: DataFrame, stream: Callable[[str], Iterator[bytes]], store:
                     rows.append((url, name, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["url", "filename", "length", "error"])
 
-    return _by_host(files.select("url", "filename"), hosts).select("url", "filename").mapInPandas(run, "url string, filename string, length long, error string")
+    return in_pandas(_by_host(files.select("url", "filename"), hosts).select("url", "filename"), run, "url string, filename string, length long, error string")
 
 
 def fetch_missing(metadata: DataFrame, listing: DataFrame, stream: Callable[[str], Iterator[bytes]], store: FileStore, police: Callable[[], Politeness] | None = None) -> DataFrame:
@@ -226,7 +227,7 @@ def read_sqlite(spark: SparkSession, path: str, sql: str, schema: str) -> DataFr
                 yield pd.DataFrame(con.execute(sql).fetchall(), columns=names)
                 con.close()
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    return in_pandas(spark.read.format("binaryFile").load(path).select("content"), run, schema)
 
 
 class Politeness:
@@ -324,7 +325,7 @@ def sample_texts(files: DataFrame, read: Reader, count: Callable[[bytes], int] |
             out = pd.DataFrame(rows, columns=["path", "content", "pages", "sample"])
             yield out.astype({"pages": "Int64"})
 
-    return files.select("path", "content").mapInPandas(run, "path string, content binary, pages long, sample string")
+    return in_pandas(files.select("path", "content"), run, "path string, content binary, pages long, sample string")
 
 
 def _layers(read: Reader, read_large: Reader | None, size: int, limit: float) -> list[Reader]:
@@ -364,7 +365,7 @@ def extract_texts(files: DataFrame, read: Reader, count: Callable[[bytes], int],
             yield pd.DataFrame(rows, columns=["path", "text", "was_ocr_used", "error"])
 
     seen = sample_texts(files, read, count, read_large, least_large).withColumn("scan", F.coalesce(gate(F.col("sample")), F.lit(True)))
-    return seen.select("path", "content", "pages", "scan").mapInPandas(run, "path string, text string, was_ocr_used boolean, error string")
+    return in_pandas(seen.select("path", "content", "pages", "scan"), run, "path string, text string, was_ocr_used boolean, error string")
 
 
 def pdf_dates(files: DataFrame, read: Reader) -> DataFrame:
@@ -383,6 +384,7 @@ def encode_texts(rows: DataFrame, encode: Callable[[list[str]], list[list[float]
                 out += encode(s.iloc[i : i + batch].tolist())
             yield pd.Series(out)
 
+    small_batches(rows.sparkSession)
     return rows.withColumn("embedding", run(F.col(text)))
 
 

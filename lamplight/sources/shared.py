@@ -1,10 +1,12 @@
-"""Intermediate tables in the folder that the whole cluster shares."""
+"""Intermediate tables in the folder that the whole cluster shares, and the batches that go to Python."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,3 +44,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of an Arrow batch; Spark's own default lets a task hold 64 MB of texts in the JVM and as much in Python.
+BATCH_BYTES = 8 << 20
+SPARK_BATCH = "67108864b"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of about BATCH_BYTES, or of what the session sets: where it sets none, this does."""
+    if spark.conf.get(_BATCH_SETTING) == SPARK_BATCH:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def in_pandas(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """df.mapInPandas in small batches."""
+    small_batches(df.sparkSession)
+    return df.mapInPandas(run, schema)

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
+from pyspark.sql import functions as F
 
+from lamplight.operators import web
 from lamplight.plans.queries import QUERIES, SQL
+from lamplight.sources import readers
 
 
 def rows(df, sql: str, **tables: str):
@@ -21,3 +25,27 @@ def test_page_link_facts_takes_references_as_written(spark, tmp_path):
     spark.createDataFrame([*pages, pages[0]], "url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got, want = rows(QUERIES["page_link_facts"](spark, str(tmp_path)), SQL["page_link_facts"], pages=f"{tmp_path}/pages.parquet")
     assert len(got) == len(titles) and got == want
+
+
+def batch_rows(df) -> int:
+    """How many rows of df go to Python at once, at most."""
+    return df.mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n int").agg(F.max("n")).first()[0]
+
+
+def large_texts(session):
+    """24 texts of a megabyte in one partition, in a session that sets no size of batches."""
+    return session.range(0, 24, 1, 1).select("id", F.repeat(F.concat(F.col("id").cast("string"), F.lit(" words.\n")), 110_000).alias("text"))
+
+
+def test_pdf_contents_go_to_python_in_small_batches(spark):
+    texts = large_texts(spark.newSession())
+    files = texts.select(F.col("id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    got = readers.extract_texts(files, lambda d, a, z: [d[:8].decode()] * (z - a), lambda d: 1, lambda d, a, z: ["scan"], lambda s: F.lit(False))
+    assert sorted(r.text[:2].strip() for r in got.collect()) == sorted(map(str, range(24)))
+    assert batch_rows(files) <= 12
+
+
+def test_links_are_read_in_small_batches(spark):
+    pages = large_texts(spark.newSession()).select(F.col("id").cast("string").alias("url"), F.concat(F.lit("<a href='/x'>x</a><!--"), "text", F.lit("-->")).alias("html"))
+    assert web.page_links(pages).count() == 24
+    assert batch_rows(pages) <= 12
