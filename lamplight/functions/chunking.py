@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamplight.sources.shared import small_batches
+
 from .naming import chunk_id
 from .strings import is_blank, let, strip, text_or_empty
 
@@ -62,3 +64,9 @@ def split_for_translation(most: int = PIECE):
         return texts.map(lambda t: pieces_of(t, most))
 
     return split
+
+
+def translation_pieces(rows: DataFrame, key: str, text: str = "text", most: int = PIECE) -> DataFrame:
+    """(key, ord, piece) of the texts of rows, which go to Python in small batches."""
+    small_batches(rows.sparkSession)
+    return rows.select(key, F.posexplode(split_for_translation(most)(F.col(text))).alias("ord", "piece"))

@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamplight.functions.chunking import PIECE, split_for_translation
+from lamplight.functions.chunking import PIECE, translation_pieces
 from lamplight.functions.naming import cache_key
 from lamplight.functions.quality import check_translation, has_translatable, is_refusal, strip_commentary
 from lamplight.functions.strings import strip, text_or_empty
+from lamplight.sources.shared import in_pandas
 
 MOST_SOURCE = 4000
 CACHE = "cache_key string, model string, status string, english string, reasons array<string>, metrics map<string,double>, source_chars int"
@@ -30,7 +31,7 @@ def is_available(model: str, listing: Callable[[], list[str]]) -> tuple[bool, st
 
 def pieces(rows: DataFrame, key: str = "cache_key", text: str = "source", most: int = PIECE) -> DataFrame:
     """(key, ord, piece, wanted): the pieces of each text and whether there is anything to translate in one."""
-    return rows.select(key, F.posexplode(split_for_translation(most)(F.col(text))).alias("ord", "piece")).withColumn("wanted", has_translatable("piece"))
+    return translation_pieces(rows, key, text, most).withColumn("wanted", has_translatable("piece"))
 
 
 def translate(rows: DataFrame, model: str, generate: Callable[[pd.Series], pd.Series], cache: DataFrame | None = None, text: str = "text", force: bool = False, available: tuple[bool, str] = (True, "ready")) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +65,7 @@ def translate(rows: DataFrame, model: str, generate: Callable[[pd.Series], pd.Se
             b["output"] = generate(b["piece"])
             yield b[["cache_key", "ord", "piece", "output"]]
 
-    asked = cut.filter("wanted").select("cache_key", "ord", "piece").mapInPandas(run, "cache_key string, ord int, piece string, output string")
+    asked = in_pandas(cut.filter("wanted").select("cache_key", "ord", "piece"), run, "cache_key string, ord int, piece string, output string")
     kept = asked.select("cache_key", "ord", "piece", F.when(~is_refusal("output"), strip_commentary("output")).alias("c"))
     # an excerpt has MOST_SOURCE characters, so few pieces
     good = F.filter(F.array_sort(F.collect_list(F.struct("ord", F.col("piece").alias("p"), F.col("c.text").alias("t"), F.coalesce("c.removed", F.lit(0)).alias("r")))), lambda x: F.lit(True))

@@ -49,3 +49,11 @@ def test_links_are_read_in_small_batches(spark):
     pages = large_texts(spark.newSession()).select(F.col("id").cast("string").alias("url"), F.concat(F.lit("<a href='/x'>x</a><!--"), "text", F.lit("-->")).alias("html"))
     assert web.page_links(pages).count() == 24
     assert batch_rows(pages) <= 12
+
+
+def test_texts_are_split_for_translation_in_small_batches(spark, tmp_path):
+    session = spark.newSession()
+    large_texts(session).select(F.col("id").alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["split_translation"](session, str(tmp_path))
+    assert got.count() == 24 * 110_000
+    assert batch_rows(large_texts(session)) <= 12
