@@ -9,6 +9,7 @@ from lamplight.functions.naming import normalize_section_query
 from lamplight.functions.strings import text_or_empty
 
 SNIPPET = 75
+LISTED = 1000
 # Status codes and what they are shown as.
 STATUS_LABELS = (("heinous", "Heinous"), ("not_heinous", "Not heinous"), ("depends", "Depends on other charges/facts"))
 UNKNOWN_STATUS = "Unknown / needs data"
@@ -46,14 +47,24 @@ def status_label(status: Column) -> Column:
     return out
 
 
-def add_to_case(case: DataFrame, offences: DataFrame, ids: list[str]) -> DataFrame:
-    """The case with those offences that it does not hold yet."""
-    new = offences.filter(F.col("id").isin(ids)).join(case.select("id"), "id", "left_anti")
+def _listed(rows: DataFrame, ids: list[str] | DataFrame, how: str) -> DataFrame:
+    """Rows by their id: those that ids names (left_semi) or the others (left_anti). A list in the plan is short: longer ones are tables."""
+    if not isinstance(ids, DataFrame) and len(ids) <= LISTED:
+        named = F.coalesce(F.col("id").isin(ids), F.lit(False))
+        return rows.filter(named if how == "left_semi" else ~named)
+    if not isinstance(ids, DataFrame):
+        ids = rows.sparkSession.createDataFrame([(i,) for i in ids], "id string")
+    return rows.join(ids.select("id"), "id", how).select(*rows.columns)
+
+
+def add_to_case(case: DataFrame, offences: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
+    """The case with those offences, of a list or a table with `id`, that it does not hold yet."""
+    new = _listed(offences, ids, "left_semi").join(case.select("id"), "id", "left_anti")
     return case.unionByName(new.select(*case.columns))
 
 
-def remove_from_case(case: DataFrame, ids: list[str]) -> DataFrame:
-    return case.filter(~F.col("id").isin(ids))
+def remove_from_case(case: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
+    return _listed(case, ids, "left_anti")
 
 
 def clear_case(case: DataFrame) -> DataFrame:

@@ -447,9 +447,9 @@ def case_list(spark, d):
     """A case: offences added once, others taken off; status codes as labels."""
     code = F.when(F.col("p_partkey") % 10 == 0, "depends").otherwise(F.element_at(F.array(*[F.lit(x) for x in ("heinous", "not_heinous", None, "other")]), (F.col("p_partkey") % 4 + 1).cast("int")))
     every = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_partkey", code.alias("status"))
-    case = offences.add_to_case(offences.clear_case(every), every.filter("p_partkey % 10 = 0"), [r[0] for r in every.filter("p_partkey % 10 = 0").select("id").collect()])  # a case is small
+    case = offences.add_to_case(offences.clear_case(every), every.filter("p_partkey % 10 = 0"), every.filter("p_partkey % 10 = 0"))
     case = offences.add_to_case(case, every, ["10", "11", "12", "13", "14", "11"])
-    case = offences.remove_from_case(case, [r[0] for r in every.filter("p_partkey % 20 = 0").select("id").collect()])
+    case = offences.remove_from_case(case, every.filter("p_partkey % 20 = 0"))
     return case.select("id", offences.status_label(F.col("status")).alias("label"))
 
 

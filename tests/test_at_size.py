@@ -6,7 +6,8 @@ import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lamplight.operators import web
+from lamplight.operators import offences, web
+from lamplight.plans import cases  # noqa: F401
 from lamplight.plans.queries import QUERIES, SQL
 from lamplight.sources import readers
 
@@ -57,3 +58,22 @@ def test_texts_are_split_for_translation_in_small_batches(spark, tmp_path):
     got = QUERIES["split_translation"](session, str(tmp_path))
     assert got.count() == 24 * 110_000
     assert batch_rows(large_texts(session)) <= 12
+
+
+def test_ids_of_a_case_are_no_part_of_the_plan(spark, tmp_path):
+    spark.range(1, 40_001, 1, 4).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["case_list"](spark, str(tmp_path))
+    assert len(df._jdf.queryExecution().logical().toJSON()) < 200_000
+    got, want = rows(df, SQL["case_list"], part=f"{tmp_path}/part.parquet")
+    assert len(got) == 2004 and got == want
+
+
+def test_lists_of_a_case_of_any_length(spark):
+    every = spark.createDataFrame([*((str(i), i % 3) for i in range(4000)), (None, 1)], "id string, n int").select("n", "id")
+    ids = [str(i) for i in range(0, 4000, 2)]
+    case = offences.add_to_case(offences.add_to_case(every.limit(0), every, ids), every, ["1", "2", "2", None])
+    assert sorted(int(r.id) for r in case.collect()) == sorted([1, *range(0, 4000, 2)])
+    # a row without an id is not one of those that a list names
+    for some in (ids, ids[:3], [*ids[:3], None], []):
+        left = offences.remove_from_case(every, some)
+        assert left.columns == ["n", "id"] and left.count() == 4001 - len([i for i in some if i])
